@@ -1 +1 @@
-"""Part of the engine."""
+"""Relational and iterative operators."""

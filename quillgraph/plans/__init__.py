@@ -1 +1 @@
-"""Part of the engine."""
+"""Registered queries."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Streaming operators."""
