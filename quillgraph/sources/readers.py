@@ -21,7 +21,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_files(spark: SparkSession, path: str) -> DataFrame:
     """One page a row after the header; values joined by commas; offsets run over the file in row order."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("row", "line"))
     rows = lines.where("row > 0").select("path", (F.col("row") - 1).alias("page"), F.array_join(F.transform(F.split("line", ","), lambda v: F.trim(v)), ",").alias("content"))
     run = F.coalesce(F.sum(F.length("content")).over(Window.partitionBy("path").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.select("path", "page", run.alias("offset"), "content")
