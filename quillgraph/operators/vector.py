@@ -28,15 +28,43 @@ def cosine(a: Column, b: Column) -> Column:
 QUERY_BLOCK = 4096
 
 
+def _unit_rows(column) -> np.ndarray:
+    """Rows of a list column at unit length, in double precision; null and zero vectors are zero."""
+    lists = column.to_pylist()
+    width = max((len(v) for v in lists if v), default=1)
+    x = np.array([v if v is not None and len(v) == width else np.zeros(width) for v in lists], dtype=np.float64).reshape(len(lists), width)
+    length = np.linalg.norm(x, axis=1)
+    return x / np.where(length > 0, length, 1)[:, None]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank of the k nearest of `vectors` (vec_id, embedding) for each query (query_id, q); ties by vec_id.
 
-    `queries` is a stated set of at most QUERY_BLOCK rows.
+    Queries go in blocks of QUERY_BLOCK (dealt by a hash of their id), each
+    broadcast as a matrix. A batch of vectors sends on only what can still be
+    among the k best of a query, so the shuffle follows queries times k.
     """
-    scored = vectors.crossJoin(F.broadcast(queries.limit(QUERY_BLOCK + 1))).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), digits).alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "q").toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy(), _unit_rows(part.column("q"))))
+
+        def best(batches, shared=shared):
+            qid, q = shared.value
+            for batch in batches:
+                ids, x = batch.column("vec_id").to_numpy(zero_copy_only=False), _unit_rows(batch.column("embedding"))
+                if not len(ids) or not len(qid) or x.shape[1] != q.shape[1]:
+                    continue
+                for lo in range(0, len(qid), 512):
+                    score = np.round(q[lo : lo + 512] @ x.T, digits)
+                    floor = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+                    i, j = np.nonzero((score >= floor) & (score >= (-np.inf if least is None else least)))
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["query_id", "vec_id", "score"])
+
+        found = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
+        out = found if out is None else out.unionAll(found)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def similar_pairs(vectors: DataFrame, least: float, block_rows: int = 20_000) -> DataFrame:
@@ -52,19 +80,15 @@ def similar_pairs(vectors: DataFrame, least: float, block_rows: int = 20_000) ->
     for b in range(blocks):
         part = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         ids = part.column("vec_id").to_numpy()
-        x = np.array(part.column("embedding").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        length = np.linalg.norm(x, axis=1)
-        shared = spark.sparkContext.broadcast((ids, x / np.where(length > 0, length, 1)[:, None]))
+        shared = spark.sparkContext.broadcast((ids, _unit_rows(part.column("embedding"))))
 
         def near(batches, shared=shared):
             own_ids, own = shared.value
             for batch in batches:
                 ids = batch.column("vec_id").to_numpy()
-                x = np.array(batch.column("embedding").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-                length = np.linalg.norm(x, axis=1)
-                x /= np.where(length > 0, length, 1)[:, None]
+                x = _unit_rows(batch.column("embedding"))
                 for lo in range(0, len(ids), 1024):
-                    score = x[lo : lo + 1024] @ own.T if len(own_ids) else np.zeros((len(x[lo : lo + 1024]), 0))
+                    score = x[lo : lo + 1024] @ own.T if len(own_ids) and own.shape[1] == x.shape[1] else np.full((len(x[lo : lo + 1024]), len(own_ids)), -np.inf)
                     i, j = np.nonzero(score >= least - 1e-9)
                     keep = ids[lo + i] < own_ids[j]
                     i, j = i[keep], j[keep]
@@ -84,11 +108,26 @@ def capped_edges(pairs: DataFrame, most: int) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """share, value: nearest-rank percentiles of all rows, from counts of distinct values, so one small row a value is ordered."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    wanted = F.explode(F.array(*[F.lit(s) for s in shares]))
-    asked = total.select(wanted.alias("share"), F.greatest(F.ceil(F.col("share") * F.col("total")), F.lit(1)).alias("at"))
-    return run.join(F.broadcast(asked), run["upto"] >= asked["at"]).groupBy("share").agg(F.min(value).alias("value"))
+def nearest_rank(df: DataFrame, value: str, shares: list[float], ranges: int = 256) -> DataFrame:
+    """share, value: exact nearest-rank percentiles of all rows that are not null.
+
+    Approximate quantiles cut the values into ranges (a small table); counts of
+    the ranges tell in which one each rank lies, and only those are ordered.
+    """
+    rows = df.select(F.col(value).alias("v")).where("v is not null")
+    cuts = sorted(set(rows.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    ranged = rows.withColumn("b", at)
+    counts = {r["b"]: r["n"] for r in ranged.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, asked = sum(counts.values()), []
+    for s in shares if total else []:
+        rank, before = max(1, -(-int(round(s * total * 10**9)) // 10**9)), 0
+        for b in sorted(counts):
+            if rank <= before + counts[b]:
+                asked.append((s, b, rank - before))
+                break
+            before += counts[b]
+    wanted = df.sparkSession.createDataFrame(asked, "share double, b int, r long")
+    own = ranged.join(F.broadcast(wanted.select("b").distinct()), "b", "left_semi").groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    run = own.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")))
+    return run.join(F.broadcast(wanted), "b").where("upto >= r").groupBy("share").agg(F.min("v").alias("value"))
