@@ -112,3 +112,19 @@ def document_date(c: Column) -> Column:
         found(r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", 3, 2, 1),
     )
     return F.array_max(F.filter(dates, lambda d: (F.year(d) >= 1900) & (F.year(d) <= 2100)))
+
+
+def safe_folder(c: Column) -> Column:
+    """A folder name without path parts: separators and dots at the ends are dropped, other odd signs become _."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[/\\\\]+", " "), r"^[. ]+|[. ]+$", ""), r"[^A-Za-z0-9 ._-]", "_")
+
+
+def row_sentence(headers: list[str], *cells: Column) -> Column:
+    """A table row as `Header: value` parts; empty cells are left out."""
+    return F.concat_ws(", ", *[F.when(c.cast("string") != "", F.concat(F.lit(h + ": "), c.cast("string"))) for h, c in zip(headers, cells, strict=True)])
+
+
+def key_values(c: Column) -> Column:
+    """(key, value) of each line that reads `Key: value`."""
+    line = r"(?m)^([A-Z][A-Za-z ]{1,30}): *(\S[^\n]*)$"
+    return F.arrays_zip(F.regexp_extract_all(c, F.lit(line), F.lit(1)).alias("key"), F.regexp_extract_all(c, F.lit(line), F.lit(2)).alias("value"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, life_queries, more_queries, search_queries, text_queries  # noqa: F401  they register themselves
+from . import extra_queries, graph_queries, life_queries, more_queries, search_queries, text_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 

@@ -37,7 +37,7 @@ def json_pages(df: DataFrame, column: str) -> DataFrame:
 def html_pages(df: DataFrame, column: str = "html") -> DataFrame:
     """title, content of an HTML column: scripts, styles and tags dropped, the five basic references decoded."""
     body = F.col(column)
-    out = F.regexp_replace(body, r"(?is)<(script|style)\b.*?</\1\s*>|<head\b.*?</head\s*>|<!--.*?-->", " ")
+    out = F.regexp_replace(body, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
