@@ -60,8 +60,8 @@ def letterhead_triples(t: Tables):
     return E.letterhead_triples(S.sentences(t.documents))
 
 
-@query(r"""WITH x AS (SELECT text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), p AS (SELECT ROUND(CASE WHEN trim(text) = '' THEN 0.10 WHEN len(list_filter(l, lambda x: x LIKE '%:' AND length(x) <= 40)) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
- * CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 20 THEN 0.10 ELSE 1.0 END * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '(?m)^[A-Za-z ]{2,40}: *\S') THEN 0.20 ELSE 1.0 END, 6) AS penalty FROM x) SELECT penalty, COUNT(*) AS n FROM p GROUP BY penalty""")
+@query(r"""WITH x AS (SELECT text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), p AS (SELECT CAST(ROUND(CASE WHEN trim(text) = '' THEN 0.10 WHEN len(list_filter(l, lambda x: x LIKE '%:' AND length(x) <= 40)) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
+ * CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 20 THEN 0.10 ELSE 1.0 END * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '(?m)^[A-Za-z ]{2,40}: *\S') THEN 0.20 ELSE 1.0 END, 6) AS DOUBLE) AS penalty FROM x) SELECT penalty, COUNT(*) AS n FROM p GROUP BY penalty""")
 def noise_filter_stats(t: Tables):
     return N.filter_stats(t.documents)
 

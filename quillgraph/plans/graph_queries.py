@@ -14,7 +14,7 @@ from .registry import Tables, query
 @query(f"""WITH {MENTIONS}, {RELATIONS},
 deg AS (SELECT eid, COUNT(*) AS degree FROM (SELECT src AS eid FROM rel UNION ALL SELECT dst FROM rel) x GROUP BY eid),
 chk AS (SELECT eid, COUNT(*) AS chunk_count FROM mention GROUP BY eid)
-SELECT COALESCE(chk.eid, deg.eid) AS eid, COALESCE(degree, 0) AS degree, COALESCE(chunk_count, 0) AS chunk_count, ROUND(0.3 * COALESCE(degree, 0) + 0.7 * COALESCE(chunk_count, 0), 6) AS importance
+SELECT COALESCE(chk.eid, deg.eid) AS eid, COALESCE(degree, 0) AS degree, COALESCE(chunk_count, 0) AS chunk_count, ROUND(CAST(0.3 * COALESCE(degree, 0) + 0.7 * COALESCE(chunk_count, 0) AS DOUBLE), 6) AS importance
 FROM chk FULL JOIN deg ON chk.eid = deg.eid""")
 def entity_importance(t: Tables):
     return G.entity_importance(X.mentions(t), X.relations(t))
@@ -43,7 +43,7 @@ def hub_entities(t: Tables):
 
 @query(f"""WITH {SENTENCES}, {MENTIONS}, unit AS (SELECT DISTINCT eid, doc_id AS doc, section_id AS sec FROM mention JOIN sent USING (sid)),
 rare AS (SELECT eid FROM unit GROUP BY eid HAVING COUNT(*) > 1 AND COUNT(*) <= 50), u AS (SELECT unit.* FROM unit JOIN rare USING (eid))
-SELECT a.doc AS doc_a, a.sec AS sec_a, b.doc AS doc_b, b.sec AS sec_b, COUNT(*) AS shared, ROUND(0.1 * COUNT(*), 6) AS boost
+SELECT a.doc AS doc_a, a.sec AS sec_a, b.doc AS doc_b, b.sec AS sec_b, COUNT(*) AS shared, ROUND(CAST(0.1 * COUNT(*) AS DOUBLE), 6) AS boost
 FROM u a JOIN u b ON a.eid = b.eid AND a.doc < b.doc GROUP BY a.doc, a.sec, b.doc, b.sec HAVING COUNT(*) >= 2""")
 def shares_entity(t: Tables):
     return G.shares_entity(X.mentions(t), X.sentences(t))

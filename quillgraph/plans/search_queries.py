@@ -59,7 +59,7 @@ def cross_document_similarity(t: Tables):
 
 
 @query("""WITH r AS (SELECT o_totalprice AS v, ROW_NUMBER() OVER (ORDER BY o_totalprice) AS k, COUNT(*) OVER () AS n FROM orders), s AS (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS share)
-SELECT share, MIN(v) AS value FROM s JOIN r ON k >= GREATEST(1, ceil(ROUND(CAST(share AS DOUBLE) * n, 9))) GROUP BY share""")
+SELECT CAST(share AS DOUBLE) AS share, MIN(v) AS value FROM s JOIN r ON k >= GREATEST(1, ceil(ROUND(CAST(share AS DOUBLE) * n, 9))) GROUP BY share""")
 def nearest_rank_percentiles(t: Tables):
     return V.nearest_rank(t.orders, "o_totalprice", [0.25, 0.5, 0.75, 0.9, 0.95, 0.99])
 

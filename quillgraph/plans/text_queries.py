@@ -115,9 +115,9 @@ def next_fit_bins(t: Tables):
 
 
 @query(r"""WITH x AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
-SELECT doc_id, ROUND(CASE WHEN trim(text) = '' THEN 0.10 WHEN len(list_filter(l, lambda x: x LIKE '%:' AND length(x) <= 40)) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
+SELECT doc_id, CAST(ROUND(CASE WHEN trim(text) = '' THEN 0.10 WHEN len(list_filter(l, lambda x: x LIKE '%:' AND length(x) <= 40)) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
  * CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 20 THEN 0.10 ELSE 1.0 END
- * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '(?m)^[A-Za-z ]{2,40}: *\S') THEN 0.20 ELSE 1.0 END, 6) AS penalty FROM x""")
+ * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '(?m)^[A-Za-z ]{2,40}: *\S') THEN 0.20 ELSE 1.0 END, 6) AS DOUBLE) AS penalty FROM x""")
 def noise_penalties(t: Tables):
     return t.documents.select("doc_id", N.noise_penalty(F.col("text")).alias("penalty"))
 
