@@ -141,3 +141,59 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_durable_keeps_rows(spark):
     assert iterate.durable(spark.range(5)).count() == 5
+
+
+def test_label_propagation_finds_cliques(spark):
+    from quillgraph.operators import community
+
+    cliques = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 0.1)]
+    found = {r["node"]: r["community"] for r in community.label_propagation(spark.createDataFrame(cliques, "src long, dst long, w double")).collect()}
+    assert len({found[i] for i in range(5)}) == 1 and len({found[i] for i in range(10, 15)}) == 1 and found[0] != found[12]
+
+
+def test_mmr_prefers_new_directions(spark):
+    from quillgraph.operators import similar
+
+    rows = [(1, 1, 1.0, [1.0, 0.0]), (1, 2, 0.99, [1.0, 0.0]), (1, 3, 0.8, [0.0, 1.0]), (1, 4, 0.1, None)]
+    got = similar.mmr(spark.createDataFrame(rows, "query_id long, id long, score double, embedding array<double>"), k=3).orderBy("position").collect()
+    assert [r["id"] for r in got][:2] == [1, 3]
+
+
+def test_set_similarity_against_all_pairs(spark):
+    from quillgraph.operators import similar
+
+    r = random.Random(9)
+    base = [[f"w{r.randrange(60)}" for _ in range(30)] for _ in range(6)]
+    data = []
+    for i in range(60):
+        words = list(r.choice(base))
+        for _ in range(r.choice((0, 0, 1, 2, 5))):
+            words[r.randrange(len(words))] = f"x{r.randrange(99)}"
+        data.append((i, "g" if i % 3 else "h", " ".join(words)))
+    data.append((99, "g", None))
+    want = {}
+    for i, g, t in data:
+        for j, g2, u in data:
+            if g == g2 and j < i and t and u:
+                a, b = set(t.split()), set(u.split())
+                if len(a & b) >= 0.92 * len(a | b):
+                    want[i] = min(j, want.get(i, j))
+    got = {x["id"]: x["first"] for x in similar.jaccard_repeats(spark.createDataFrame(data, "id long, grp string, text string"), "grp").collect()}
+    assert got == want
+
+
+def test_many_query_blocks(spark, monkeypatch):
+    from quillgraph.operators import vector
+
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    whole = rows(vector.top_k(queries, vectors, 3))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    assert rows(vector.top_k(queries, vectors, 3)) == whole and len(whole) == 120
+
+
+def test_percentiles_of_repeated_values(spark):
+    df = spark.createDataFrame([(float(i % 10),) for i in range(1000)] + [(None,)], "v double")
+    got = {r["share"]: r["value"] for r in V.nearest_rank(df, "v", [0.0, 0.1, 0.11, 0.5, 1.0], ranges=8).collect()}
+    assert got == {0.0: 0.0, 0.1: 0.0, 0.11: 1.0, 0.5: 4.0, 1.0: 9.0}
+    assert V.nearest_rank(df.limit(0), "v", [0.5]).count() == 0
