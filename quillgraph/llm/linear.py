@@ -31,7 +31,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, fit_rows: int, f
     """Feature rows and 0/1 labels of the bounded sample.
 
     Labels that are null, or have no id, are ignored; several labels of one id
-    count as their mean, rounded; documents that repeat an id each count.
+    count as their mean, rounded; documents that repeat an id each count, up to
+    `fit_rows` in all.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y"))
@@ -58,15 +59,52 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, fit_rows: int, f
                     names=["id", "y", "f"],
                 )
 
-    table = rows.mapInArrow(features, "id long, y int, f array<int>").toArrow().combine_chunks()
-    ids, y = table.column("id").to_numpy(), table.column("y").to_numpy()
-    lists = table.column("f").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows_ = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)] if len(ids) else []
-    key = [(int(textvec.mix(np.array([i], np.int64).view(np.uint64))[0]), len(r), int(r.astype(np.int64).sum())) for i, r in zip(ids, rows_, strict=True)]
-    order = sorted(range(len(rows_)), key=key.__getitem__)  # the order of arrival says nothing
-    return [rows_[i] for i in order], y[order].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    # the same order and bound again: ids may repeat among the documents
+    found = rows.mapInArrow(features, "id long, y int, f array<int>").orderBy(F.xxhash64("id"), "id", F.xxhash64("f")).limit(fit_rows)
+    data, labels_found = [], []
+    for batch in found.toArrow().to_batches():  # views of the batches: nothing is copied
+        lists = batch.column(2)
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        data += [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+        labels_found.append(batch.column(1).to_numpy())
+    return data, np.concatenate(labels_found).astype(np.int64) if labels_found else np.zeros(0, np.int64)
+
+
+def blocks(rows: list[np.ndarray], size: int = 256):
+    """Rows joined block by block: (first row, lengths, features)."""
+    for lo in range(0, len(rows), size):
+        part = rows[lo : lo + size]
+        yield lo, [len(r) for r in part], np.concatenate(part)
+
+
+def frequencies(rows: list[np.ndarray], dim: int) -> np.ndarray:
+    """How many rows have each feature."""
+    out = np.zeros(dim, np.int32)
+    for _, _, flat in blocks(rows):
+        flat.sort()
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        out[flat[first]] += np.diff(np.append(first, len(flat))).astype(np.int32)
+    return out
+
+
+def only(rows: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
+    """Each row without the features that `keep` does not mark."""
+    out: list[np.ndarray] = []
+    for _, lengths, flat in blocks(rows):
+        kept = keep[flat]
+        ends = np.cumsum(lengths)
+        at = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
+        flat = flat[kept]
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def release() -> None:
+    """Gives memory that a fit has used back to the system; the driver lives on."""
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def margin(data: np.ndarray, offsets: np.ndarray, featurize: Featurizer, weights: np.ndarray) -> np.ndarray:

@@ -50,7 +50,7 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     counts = []
     for label in (1, 0):
         own = [r for r, v in zip(rows, y, strict=True) if v == label]
-        c = smooth + (np.bincount(np.concatenate(own), minlength=DIM) if own else np.zeros(DIM))
+        c = smooth + linear.frequencies(own, DIM)
         counts.append(c / (len(own) + 2 * smooth))
     return np.log(counts[0] / counts[1])
 
@@ -61,16 +61,17 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
     w, bias = np.zeros(DIM), 0.0
     sign = np.where(y == 1, 1.0, -1.0)
     upper = np.where(y == 1, cost * n / (2 * max(1, y.sum())), cost * n / (2 * max(1, n - y.sum())))
-    values = [scale[r] / max(1e-9, np.sqrt((scale[r] ** 2).sum())) for r in rows]
+    length = np.array([max(1e-9, np.sqrt((scale[r] ** 2).sum())) for r in rows])
     alpha, rng = np.zeros(n), np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(n):
-            grad = sign[i] * (w[rows[i]] @ values[i] + bias) - 1
+            values = scale[rows[i]] / length[i]
+            grad = sign[i] * (w[rows[i]] @ values + bias) - 1
             new = min(max(alpha[i] - grad / 2.0, 0.0), upper[i])  # unit length and a bias of 1: the diagonal is 2
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 bias += step
                 worst = max(worst, abs(new - alpha[i]))
                 alpha[i] = new
@@ -121,7 +122,9 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", fit_rows_: int = FIT_ROWS) -> Model:
     """Fit on at most `fit_rows_` labelled rows outside the held-out fold."""
-    return fit_rows(*linear.sample(documents, labels, label, fit_rows_, featurize))
+    model = fit_rows(*linear.sample(documents, labels, label, fit_rows_, featurize))
+    linear.release()
+    return model
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

@@ -66,8 +66,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: fl
     if len(rows) < 2 or len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(none, none.astype(np.float32), float(np.log(share / (1 - share))))
-    often = np.bincount(np.concatenate(rows), minlength=DIM) >= least
-    rows = [r[often[r]] for r in rows]
+    rows = linear.only(rows, linear.frequencies(rows, DIM) >= least)
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
 
     def current(idx):
@@ -96,7 +95,9 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: fl
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows_: int = FIT_ROWS) -> Model:
     """Fit on at most `fit_rows_` labelled rows outside the held-out fold."""
-    return fit_rows(*linear.sample(documents, labels, label, fit_rows_, featurize))
+    model = fit_rows(*linear.sample(documents, labels, label, fit_rows_, featurize))
+    linear.release()
+    return model
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
