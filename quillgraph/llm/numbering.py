@@ -18,19 +18,18 @@ def numbered(df: DataFrame, order: list[Column], out: str, within: list[str] | N
     Rows that agree in all of `order` are interchangeable and may swap numbers.
     """
     within = within or []
-    salt = F.pmod(F.xxhash64(*order), F.lit(lanes)).cast("int")
-    laned = df.withColumn("__lane", salt)
-    for i, c in enumerate(order):
-        laned = laned.withColumn(f"__o{i}", c)
-    ranked = laned.withColumn("__rank", F.row_number().over(Window.partitionBy(*within, "__lane").orderBy(*[f"__o{i}" for i in range(len(order))])) - 1)
-    sizes = laned.groupBy(*within, "__lane").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*within).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1) if within else Window.orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], F.col("__lane").alias("__l"), F.coalesce(F.sum("__size").over(before if not within else Window.partitionBy(*within).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    on = F.col("__lane") == F.col("__l")
-    for i, c in enumerate(within):
-        on = on & F.col(c).eqNullSafe(F.col(f"__w{i}"))
-    return (
-        ranked.join(F.broadcast(starts), on)
-        .withColumn(out, (F.col("__start") + F.col("__rank")).cast("long"))
-        .drop("__lane", "__rank", "__l", "__start", *[f"__o{i}" for i in range(len(order))], *[f"__w{i}" for i in range(len(within))])
+    keys = [f"__o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(keys, order, strict=True)))
+    rows = rows.withColumn("__lane", F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int"))
+    rank = F.row_number().over(Window.partitionBy(*within, "__lane").orderBy(*keys)) - 1
+    earlier = F.sum("__size").over(Window.partitionBy(*within).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1))
+    names = [f"__w{i}" for i in range(len(within))]
+    starts = (
+        rows.groupBy(*within, "__lane")
+        .agg(F.count(F.lit(1)).alias("__size"))
+        .select(*[F.col(c).alias(n) for c, n in zip(within, names, strict=True)], F.col("__lane").alias("__l"), F.coalesce(earlier, F.lit(0)).alias("__start"))
     )
+    on = F.col("__lane") == F.col("__l")
+    for c, n in zip(within, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return rows.withColumn("__rank", rank).join(F.broadcast(starts), on).withColumn(out, (F.col("__start") + F.col("__rank")).cast("long")).drop("__lane", "__rank", "__l", "__start", *keys, *names)
