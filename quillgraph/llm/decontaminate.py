@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 
-WINDOW, SHORTEST, BLOCK_BYTES = 13, 5, 32 << 20
+WINDOW, SHORTEST, BLOCK_BYTES = 13, 5, 8 << 20
 #: Token offsets that each mask looks at.
 MASKS = [(0, 1, 4, 5, 8, 9), (0, 1, 2, 3, 5, 6), (0, 3, 4, 7, 9, 10), (0, 1, 5, 7, 8, 10)]
 HIT = "array<struct<item_id:bigint,doc_start:int,doc_end:int,matched:int,compared:int>>"
