@@ -43,11 +43,14 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 BARRIER = frozenset("table ul ol dl div article section main body nav aside header footer form blockquote".split())
 TAGS = "#text html body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 blockquote pre table tr td figure figcaption dl dd dt address details button fieldset".split()
 #: Words of class, id and role that features name; all others count together.
-KNOWN = (
+ASIDE = (
     "nav menu navbar breadcrumb breadcrumbs topbar masthead banner header footer foot copyright sidebar side aside widget related recommend more ad ads advert advertisement adv sponsor sponsored promo promotion cookie consent "
-    "notice alert popup modal overlay newsletter subscribe signup form search login comment comments reply discussion disqus respond share social tags pager pagination toolbar skip "
-    "article post content main body text entry story page wrapper container row col column inner hentry news blog"
+    "notice alert popup modal overlay newsletter subscribe signup form search login comment comments reply discussion disqus respond share social tags pager pagination toolbar skip"
 ).split()
+CORE = "article post content main body text entry story page wrapper container row col column inner hentry news blog".split()
+KNOWN = ASIDE + CORE
+#: Columns that say whether any of a set of tags or words is there.
+ASIDE_TAGS = "nav header footer aside form button fieldset address".split()
 KNOWN_AT = {w: i for i, w in enumerate(KNOWN)}
 
 
@@ -163,7 +166,7 @@ def _line(node):
 
 
 NUMERIC = 21
-N_FEATURES = NUMERIC + 2 * (len(TAGS) + len(KNOWN) + 1)
+N_FLAGS = len(TAGS) + len(KNOWN) + 1 + 3
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -183,7 +186,7 @@ def features(roots: list[Node]) -> tuple[list[Node], np.ndarray, np.ndarray, np.
                 stack.extend([(c, me, d) for c in reversed(node.children)])
     n = len(nodes)
     text, link, stops, tags = [0] * n, [0] * n, [0] * n, [TAG_AT.get(x.tag, len(TAGS)) for x in nodes]
-    own = np.zeros((n, len(TAGS) + len(KNOWN) + 1), np.float32)
+    own = np.zeros((n, N_FLAGS), np.float32)
     for i, x in enumerate(nodes):
         if x.parts:
             t = x.parts[0]
@@ -211,6 +214,10 @@ def features(roots: list[Node]) -> tuple[list[Node], np.ndarray, np.ndarray, np.
     text, link, stops, leaves, n_tags, paras = sums.T
     known = np.flatnonzero(tag < len(TAGS))
     own[known, tag[known]] = 1
+    words = own[:, len(TAGS) :]
+    own[:, -3] = own[:, [TAG_AT[t] for t in ASIDE_TAGS]].max(axis=1)
+    own[:, -2] = words[:, : len(ASIDE)].max(axis=1)
+    own[:, -1] = words[:, len(ASIDE) : len(KNOWN)].max(axis=1)
     above = np.zeros_like(own)
     for own_level in levels:
         above[own_level] = np.maximum(above[parent[own_level]], own[parent[own_level]])
@@ -370,7 +377,7 @@ def training_page(r: random.Random) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def fit(pages: int = 900, seed: int = 5) -> trees.Boosted:
+def fit(pages: int = 700, seed: int = 5) -> trees.Boosted:
     """Trees fitted on generated pages; a node is positive if any text below it is main text."""
     r = random.Random(seed)
     roots, good = [], set()

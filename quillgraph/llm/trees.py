@@ -33,29 +33,37 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, numeric: int, trees: int = 80, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 24) -> Boosted:
-    """Logistic loss and second-order gains. The first `numeric` columns are cut at quantiles, at most `bins` bins each; the others are 0 or 1."""
-    n, d = x.shape
+def fit(x: np.ndarray, y: np.ndarray, numeric: int, trees: int = 60, depth: int = 4, rate: float = 0.25, l2: float = 1.0, bins: int = 16, share_of_rows: float = 0.35, seed: int = 3) -> Boosted:
+    """Logistic loss and second-order gains; each tree sees a seeded share of the rows.
+
+    The first `numeric` columns are cut at quantiles, at most `bins` bins each;
+    the others are 0 or 1, and count only if at least 10 rows have a 1.
+    """
+    n = len(x)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(numeric)]
-    flat = np.stack([np.searchsorted(e, x[:, j], side="left") + j * bins for j, e in enumerate(edges)], axis=1)
-    flags = np.ascontiguousarray(x[:, numeric:], dtype=np.float32)
+    flat_all = np.stack([np.searchsorted(e, x[:, j], side="left") + j * bins for j, e in enumerate(edges)], axis=1)
+    names = numeric + np.flatnonzero(x[:, numeric:].sum(axis=0) >= min(10, n))
+    flags_all = np.ascontiguousarray(x[:, names], dtype=np.float32)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Boosted(depth, float(np.log(share / (1 - share))))
     score = np.full(n, model.base)
     inner, leaves = (1 << depth) - 1, 1 << depth
+    rng = np.random.default_rng(seed)
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
-        gh = np.stack([p - y, p * (1 - p)])
-        at = np.zeros(n, np.int64)
+        rows = np.flatnonzero(rng.random(n) < share_of_rows) if n > 1000 else np.arange(n)
+        flat, flags, own_x = flat_all[rows], flags_all[rows], x[rows]
+        p = 1 / (1 + np.exp(-score[rows]))
+        gh = np.stack([p - y[rows], p * (1 - p)])
+        at = np.zeros(len(rows), np.int64)
         cut, feature = np.full(inner, np.inf), np.zeros(inner, np.int64)
         for level in range(depth):
             first, width = (1 << level) - 1, 1 << level
             own = at - first
             cell = (own[:, None] * (numeric * bins) + flat).ravel()
-            member = np.zeros((n, 2 * width), np.float32)
+            member = np.zeros((len(rows), 2 * width), np.float32)
             left, total = [], []
             for q in range(2):
-                member[np.arange(n), own + q * width] = gh[q]
+                member[np.arange(len(rows)), own + q * width] = gh[q]
                 left.append(np.bincount(cell, np.repeat(gh[q], numeric), width * numeric * bins).reshape(width, numeric, bins).cumsum(axis=2))
                 total.append(np.bincount(own, gh[q], width))
             ones = (flags.T @ member).astype(np.float64)
@@ -69,14 +77,13 @@ def fit(x: np.ndarray, y: np.ndarray, numeric: int, trees: int = 80, depth: int
                 if gain[best] <= 1e-6:
                     continue
                 if best >= numeric * bins:
-                    cut[first + k], feature[first + k] = 0.5, numeric + best - numeric * bins
+                    cut[first + k], feature[first + k] = 0.5, names[best - numeric * bins]
                 elif best % bins < len(edges[best // bins]):
                     cut[first + k], feature[first + k] = edges[best // bins][best % bins], best // bins
-            at = 2 * at + 1 + (x[np.arange(n), feature[at]] > cut[at])
+            at = 2 * at + 1 + (own_x[np.arange(len(rows)), feature[at]] > cut[at])
         leaf = at - inner
-        value = -rate * np.bincount(leaf, gh[0], leaves) / (np.bincount(leaf, gh[1], leaves) + l2)
-        score += value[leaf]
         model.cuts.append(cut)
         model.features.append(feature)
-        model.values.append(value)
+        model.values.append(-rate * np.bincount(leaf, gh[0], leaves) / (np.bincount(leaf, gh[1], leaves) + l2))
+        score += Boosted(depth, 0.0, [cut], [feature], [model.values[-1]]).raw(x)
     return model
