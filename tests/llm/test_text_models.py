@@ -18,13 +18,12 @@ MIDDLE = "/root/testdata/sf0.1"
 @given(st.lists(st.text(alphabet="ab Bé\n\t.1", max_size=30), max_size=6), st.integers(2, 40))
 def test_tokens_against_split(texts, chunk):
     data, off = textvec.utf8(pa.array(texts, pa.string()))
-    keep, old = textvec.CHUNK, textvec.CHUNK
+    old = textvec.CHUNK
     try:
         textvec.CHUNK = chunk  # cuts must not change anything
         doc, word, _, _ = textvec.tokens(data, off, textvec.NON_SPACE)
     finally:
         textvec.CHUNK = old
-    del keep
     want = [(i, w) for i, t in enumerate(texts) for w in t.encode().lower().split()]
     assert doc.tolist() == [i for i, _ in want]
     same = {}
