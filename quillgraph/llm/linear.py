@@ -101,10 +101,14 @@ def only(rows: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
 
 def release() -> None:
     """Gives memory that a fit has used back to the system; the driver lives on."""
+    import ctypes
     import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def margin(data: np.ndarray, offsets: np.ndarray, featurize: Featurizer, weights: np.ndarray) -> np.ndarray:

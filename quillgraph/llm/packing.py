@@ -66,8 +66,8 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 
 def bucket_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Bounds for a table with a column n_tokens, from the histogram over all its rows."""
-    bins = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n")).orderBy("top").toPandas()
-    return best_bounds(bins["top"].to_numpy(), bins["n"].to_numpy(), buckets)
+    bins = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n")).orderBy("top").toArrow()
+    return best_bounds(bins.column("top").to_numpy(), bins.column("n").to_numpy(), buckets)
 
 
 def pack(documents: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id", text_col: str = "text", length=words) -> DataFrame:

@@ -89,9 +89,9 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097, dtype=np.int32)), pa.array(np.append(total.reshape(-1), n).astype(np.int64))], names=["cell", "n"])
 
-    cells = prints.select("fp").mapInArrow(both, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 4097 rows
+    cells = prints.select("fp").mapInArrow(both, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 4097 rows
     flat = np.zeros(4097)
-    flat[cells["cell"].to_numpy(dtype=int)] = cells["n"].to_numpy()
+    flat[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     return int(flat[-1]), flat[:-1].reshape(64, 64)
 
 
@@ -216,9 +216,10 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, k: int = SHI
 def keep_first(documents: DataFrame, distance: int = DISTANCE, k: int = SHINGLE, cap: int = CAP) -> DataFrame:
     """One row of each component, all columns as they are: the one with the smallest doc_id (null ids last, then by a hash of the text)."""
     rows = _grouped(documents, distance, k, cap, "doc_id", "text")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("th").alias("h"))).alias("s"))
-    first = first.select(F.col("s.i").alias("__i"), F.col("s.h").alias("__h"))
-    marked = documents.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__h")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "__th").orderBy("__th"))  # rows that repeat id and text
-    return kept.withColumn("__r", rank).where("__r = 1").drop("__r", "__th")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("th").alias("h"))).alias("s"))
+    first = first.select(F.col("s.z").alias("__z1"), F.col("s.i").alias("__i1"), F.col("s.h").alias("__h1"))
+    marked = documents.withColumns({"__z": F.col("doc_id").isNull(), "__i": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))})
+    kept = marked.join(first, (F.col("__z") == F.col("__z1")) & (F.col("__i") == F.col("__i1")) & (F.col("__h") == F.col("__h1")), "left_semi")
+    # rows that repeat id and text; the keys are the join's, so the texts move once
+    rank = F.row_number().over(Window.partitionBy("__z", "__i", "__h").orderBy(F.lit(1)))
+    return kept.withColumn("__r", rank).where("__r = 1").drop("__r", "__z", "__i", "__h")
