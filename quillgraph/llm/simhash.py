@@ -215,7 +215,11 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, k: int = SHI
 
 def keep_first(documents: DataFrame, distance: int = DISTANCE, k: int = SHINGLE, cap: int = CAP) -> DataFrame:
     """One row of each component, all columns as they are: the one with the smallest doc_id (null ids last, then by a hash of the text)."""
-    rows = _grouped(documents, distance, k, cap, "doc_id", "text")
+    return first_rows(documents, _grouped(documents, distance, k, cap, "doc_id", "text"))
+
+
+def first_rows(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """The first row of each root of `rows` (doc_id, th, root), which `documents` were grouped to."""
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("th").alias("h"))).alias("s"))
     first = first.select(F.col("s.z").alias("__z1"), F.col("s.i").alias("__i1"), F.col("s.h").alias("__h1"))
     marked = documents.withColumns({"__z": F.col("doc_id").isNull(), "__i": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))})
