@@ -38,19 +38,23 @@ def hubs(mentions: DataFrame, sentences: DataFrame, k: int = 3) -> DataFrame:
     return per.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def shares_entity(mentions: DataFrame, sentences: DataFrame, least: int = 2, most_common: int = 50, unit=("doc_id", "section_id")) -> DataFrame:
+def shares_entity(mentions: DataFrame, sentences: DataFrame, least: int = 2, block: int = 256, unit=("doc_id", "section_id")) -> DataFrame:
     """Pairs of units of different documents that share at least `least` entities: a, b, shared, boost = 0.1 shared.
 
-    Entities in over `most_common` units tell nothing about a pair and would make the square of their units; they are left out by rule.
+    Every entity counts, however common. The units of an entity are dealt to
+    blocks of about `block`, and each pair of blocks is a join key of its own,
+    so that no task makes all pairs of a common entity.
     """
     units = mentions.join(sentences.select("sid", *unit), "sid").select("eid", F.col(unit[0]).alias("doc"), F.col(unit[1]).alias("sec")).distinct()
-    rare = units.groupBy("eid").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most_common)).select("eid")
-    u = units.join(rare, "eid")
-    a, b = u.alias("a"), u.alias("b")
+    count = units.groupBy("eid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("eid", F.ceil(F.col("n") / block).alias("blocks"))
+    u = units.join(count, "eid").withColumn("own", F.pmod(F.xxhash64("doc", "sec"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    a = u.select("eid", F.col("own").alias("i"), other.alias("j"), F.col("doc").alias("doc_a"), F.col("sec").alias("sec_a"))
+    b = u.select("eid", other.alias("i"), F.col("own").alias("j"), F.col("doc").alias("doc_b"), F.col("sec").alias("sec_b"))
     return (
-        a.join(b, "eid")
-        .where("a.doc < b.doc")
-        .groupBy(F.col("a.doc").alias("doc_a"), F.col("a.sec").alias("sec_a"), F.col("b.doc").alias("doc_b"), F.col("b.sec").alias("sec_b"))
+        a.join(b, ["eid", "i", "j"])
+        .where("doc_a < doc_b")
+        .groupBy("doc_a", "sec_a", "doc_b", "sec_b")
         .agg(F.count(F.lit(1)).alias("shared"))
         .where(F.col("shared") >= least)
         .withColumn("boost", F.round(0.1 * F.col("shared"), 6))

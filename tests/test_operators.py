@@ -197,3 +197,16 @@ def test_percentiles_of_repeated_values(spark):
     got = {r["share"]: r["value"] for r in V.nearest_rank(df, "v", [0.0, 0.1, 0.11, 0.5, 1.0], ranges=8).collect()}
     assert got == {0.0: 0.0, 0.1: 0.0, 0.11: 1.0, 0.5: 4.0, 1.0: 9.0}
     assert V.nearest_rank(df.limit(0), "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_common_entities_are_shared(spark, block):
+    r = random.Random(4)
+    units = [(d, s) for d in range(20) for s in range(5)]
+    own = {u: {1, 2} | {e for e in range(3, 12) if r.random() < 0.2} for u in units}
+    own[(0, 0)] = {1}
+    sentences = spark.createDataFrame([(i, *u) for i, u in enumerate(units * 2)], "sid long, doc_id long, section_id long")
+    mentions = spark.createDataFrame([(i, e) for i, u in enumerate(units * 2) for e in own[u]], "sid long, eid long")
+    got = {tuple(x)[:4]: x["shared"] for x in G.shares_entity(mentions, sentences, block=block).collect()}
+    want = {(*a, *b): len(own[a] & own[b]) for a in units for b in units if a[0] < b[0] and len(own[a] & own[b]) >= 2}
+    assert got == want
