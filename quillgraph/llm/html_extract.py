@@ -33,12 +33,17 @@ from . import trees
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+OPEN = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del object math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe svg select math object canvas audio video head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select annotation annotation-xml canvas audio video head".split())
+#: Those of them that run to the page's end if they are not closed; of the others only the tag goes.
+TO_END = frozenset("script style textarea title".split())
+#: Those that hold none of their own kind: another one that opens shows that the first is not closed.
+FLAT = frozenset("iframe select annotation canvas audio video".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 BARRIER = frozenset("table ul ol dl div article section main body nav aside header footer form blockquote".split())
 TAGS = "#text html body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 blockquote pre table tr td figure figcaption dl dd dt address details button fieldset".split()
@@ -86,7 +91,7 @@ def parse(page: str) -> Node:
                 leaf.parts, leaf.link = [text], min(linked, len(text))
             run, linked = [], 0
 
-    pos, n = 0, len(page)
+    pos, n, unclosed = 0, len(page), set()
     while pos < n:
         lt = page.find("<", pos)
         if lt < 0:
@@ -101,8 +106,12 @@ def parse(page: str) -> Node:
                 break
         m = TOKEN.match(page, pos) or LOOSE.match(page, pos)
         if not m:
-            if page.startswith(("<!", "<?"), pos) or (pos + 1 < n and (page[pos + 1].isalpha() or page[pos + 1] == "/")):
+            if page.startswith(("<!", "<?"), pos) or OPEN.match(page, pos):
                 break  # a tag that never ends
+            if page.startswith("</", pos) and pos + 2 < n:  # no name: a comment to the next ">"
+                end = page.find(">", pos + 2)
+                pos = end + 1 if end >= 0 else n
+                continue
             run.append("<")
             pos += 1
             continue
@@ -128,13 +137,15 @@ def parse(page: str) -> Node:
             in_link = False
             continue
         if name in RAW:
-            if m[3].endswith("/") and name in ("svg", "math"):
+            if name in unclosed or (m[3].endswith("/") and name == "svg"):
                 continue
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, pos)
-            if end:
+            end = re.compile(rf"<{'/?' if name in FLAT else '/'}{re.escape(name)}(?=[\s/>])[^>]*>?" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, pos)
+            if end and (name not in FLAT or end[0].startswith("</")):
                 pos = end.end()
-            elif name != "head":
+            elif name in TO_END:
                 pos = n
+            elif not end:
+                unclosed.add(name)
             continue
         if name in VOID:
             continue

@@ -143,6 +143,19 @@ def test_pages(page, want):
     assert isinstance(got, str) and (want is None or got == want)
 
 
+@pytest.mark.parametrize("inside,want", [(x, "first  last") for x in ("</3 b>", "</ p>", "</>", "</β>", "<select>", "<select/>", "<object data=x />", "<iframe/>", "<video src=x>", "<audio>", "<canvas>", "<template>", "<noscript>", "<math/>", "<select><option>One</select>", "<video><video>no</video>")]
+    + [(f"{x} ", f"first {x} last") for x in ("<β", "<é", "<日", "< 3", "<3")] + [("<math><mi>x</mi><annotation>tex</annotation></math>", "first x last"), ("<object>shown</object>", "first shown last"), ("<script>", "first")])
+def test_markup_does_not_end_a_page(inside, want):
+    found, todo = [], [html_extract.parse(f"<article><p>first {inside} last</p><p>next</p></article>")]
+    while todo:
+        x = todo.pop()
+        todo.extend(reversed(x.children))
+        found += x.parts
+    if inside != "<script>":
+        want += " next"
+    assert " ".join(" ".join(found).split()) == " ".join(want.split())
+
+
 def test_generated_pages_and_hierarchy():
     r, model = random.Random(77), html_extract.fit()
     hit = extra = missed = 0
