@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import community as C
@@ -188,8 +188,11 @@ def coverage_gaps(t: Tables):
 SELECT 'e' || CAST(eid AS VARCHAR) AS node, ROUND(1.0 / n, 6) AS weight FROM c UNION ALL SELECT 's' || CAST(sid AS VARCHAR), ROUND(0.05 * (score - lo) / (hi - lo), 6) FROM d, e""")
 def seed_weights(t: Tables):
     """Entity seeds weigh one over their mentions, passage seeds a twentieth of their scaled score."""
-    c = X.mentions(t).where("eid <= 50").groupBy("eid").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("e"), F.col("eid").cast("string")).alias("node"), F.round(1.0 / F.col("n"), 6).alias("weight"))
-    d = X.sentences(t).where("sid <= 200").select("sid", "score")
+    return _seed_weights(X.mentions(t).where("eid <= 50"), X.sentences(t).where("sid <= 200").select("sid", "score"))
+
+
+def _seed_weights(mentions: DataFrame, d: DataFrame) -> DataFrame:
+    c = mentions.groupBy("eid").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("e"), F.col("eid").cast("string")).alias("node"), F.round(1.0 / F.col("n"), 6).alias("weight"))
     e = d.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     return c.unionAll(d.crossJoin(F.broadcast(e)).select(F.concat(F.lit("s"), F.col("sid").cast("string")), F.round(0.05 * (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)))
 
@@ -208,7 +211,11 @@ def usage_range(t: Tables):
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE source END AS folder, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id < 100")
 def moved_documents(t: Tables):
     """A move replaces the folder only where the caller's version is the current one; stale moves (odd ids) change nothing."""
-    now = t.documents.where("doc_id < 100").select("doc_id", F.col("source").alias("folder"), F.lit(1).alias("version"))
+    return _moved(t.documents.where("doc_id < 100"))
+
+
+def _moved(documents: DataFrame) -> DataFrame:
+    now = documents.select("doc_id", F.col("source").alias("folder"), F.lit(1).alias("version"))
     moves = now.select(F.col("doc_id").alias("m"), F.lit("moved").alias("to"), (1 - F.col("doc_id") % 2).alias("expected"))
     hit = (F.col("expected") == F.col("version"))
     return now.join(moves, F.col("doc_id") == F.col("m"), "left").select("doc_id", F.when(hit, F.col("to")).otherwise(F.col("folder")).alias("folder"), F.when(hit, F.col("version") + 1).otherwise(F.col("version")).alias("version"))
@@ -222,3 +229,24 @@ def evidence_confidence(t: Tables):
     s = X.mentions(t).select("sid").distinct().join(X.sentences(t), "sid").groupBy("section_id").agg(F.count(F.lit(1)).alias("s"))
     c = 0.6 * (F.col("s") >= 2).cast("double") + 0.4 * F.col("d") / F.col("n") - F.when(2 * F.col("top") > F.col("n"), 0.05).otherwise(0.0)
     return per.join(s, "section_id").select("section_id", F.round(c, 6).alias("confidence"))
+
+
+# The three queries above that their SQL holds to a range of ids, over whole tables.
+
+
+@query("WITH s AS (SELECT DISTINCT p_name AS seed, string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey <= 20), n AS (SELECT DISTINCT p_name AS name, string_split(lower(p_name), ' ') AS w FROM part), x AS (SELECT DISTINCT seed, unnest(w) AS w FROM s), y AS (SELECT DISTINCT name, unnest(w) AS w FROM n) SELECT seed, name, COUNT(*) AS shared FROM x JOIN y USING (w) WHERE length(w) >= 3 GROUP BY seed, name")
+def token_overlap_all_parts(t: Tables):
+    """A stated seed set against every part, the seeds' own among them."""
+    s = t.part.where("p_partkey <= 20").select(F.col("p_name").alias("seed")).distinct()
+    return RS.token_overlap(s, t.part.select(F.col("p_name").alias("name")).distinct())
+
+
+@query(f"""WITH {SENTENCES}, {MENTIONS}, c AS (SELECT eid, COUNT(*) AS n FROM mention GROUP BY eid), e AS (SELECT MIN(score) AS lo, MAX(score) AS hi FROM sent)
+SELECT 'e' || CAST(eid AS VARCHAR) AS node, ROUND(1.0 / n, 6) AS weight FROM c UNION ALL SELECT 's' || CAST(sid AS VARCHAR), ROUND(0.05 * (score - lo) / (hi - lo), 6) FROM sent, e""")
+def all_seed_weights(t: Tables):
+    return _seed_weights(X.mentions(t), X.sentences(t).select("sid", "score"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE source END AS folder, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents")
+def all_moved_documents(t: Tables):
+    return _moved(t.documents)
