@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import durable
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First k rows of each group. Ranks within a limit are cut before the shuffle by Spark's group-limit rule."""
@@ -50,11 +52,22 @@ def near_best(df: DataFrame, share: float = 0.90) -> DataFrame:
 
 
 def gap_prune(df: DataFrame, after: int = 6, drop: float = 0.5) -> DataFrame:
-    """Ranked rows (id, score) up to the first fall of more than `drop` of the score before, counted from rank `after` on. For a short ranked list."""
-    w = Window.orderBy(F.desc("score"), "id")
-    rows = df.withColumn("rank", F.row_number().over(w)).withColumn("prev", F.lag("score").over(w))
-    fall = ((F.col("rank") > after) & (F.col("score") < (1 - drop) * F.col("prev"))).cast("int")
-    return rows.withColumn("cut", F.sum(fall).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("cut = 0").select("id", "score", "rank")
+    """Ranked rows (id, score) up to the first fall of more than `drop` of the score before, counted from rank `after` on.
+
+    Rows go to ranges of the ranking; a range's ranks start after the counts of
+    those before it, so that only one row a range meets in one place.
+    """
+    order = [F.desc("score"), F.asc("id")]
+    rows = durable(df.select("id", "score").repartitionByRange(*order).withColumn("p", F.spark_partition_id()))
+    n = F.count(F.lit(1))
+    ends = rows.groupBy("p").agg(n.alias("n"), F.when(F.count("score") == n, F.min("score")).alias("last"))
+    w = Window.orderBy("p")
+    ends = ends.select("p", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"), F.lag("last").over(w).alias("before"))
+    own = Window.partitionBy("p").orderBy(*order)
+    place = F.row_number().over(own)
+    rows = rows.join(F.broadcast(ends), "p").withColumn("r", place).withColumn("prev", F.when(F.col("r") == 1, F.col("before")).otherwise(F.lag("score").over(own))).withColumn("rank", F.col("base") + F.col("r"))
+    cut = rows.where((F.col("rank") > after) & (F.col("score") < (1 - drop) * F.col("prev"))).agg(F.min("rank").alias("cut"))
+    return rows.crossJoin(F.broadcast(cut)).where(F.col("cut").isNull() | (F.col("rank") < F.col("cut"))).select("id", "score", "rank")
 
 
 def rrf(*lists: DataFrame, k: int = 60) -> DataFrame:

@@ -210,3 +210,14 @@ def test_common_entities_are_shared(spark, block):
     got = {tuple(x)[:4]: x["shared"] for x in G.shares_entity(mentions, sentences, block=block).collect()}
     want = {(*a, *b): len(own[a] & own[b]) for a in units for b in units if a[0] < b[0] and len(own[a] & own[b]) >= 2}
     assert got == want
+
+
+def test_gap_over_many_ranges(spark):
+    """The first fall is found across ranges, and no range is ranked as one partition."""
+    for scores, keep in (([1000.0 - i for i in range(400)] + [200.0] * 50, 400), ([1000.0 - i for i in range(450)], 450), ([8.0, 1.0, 1.0], 3)):
+        df = spark.createDataFrame(list(enumerate(scores)), "id long, score double")
+        got = rows(ranking.gap_prune(df))
+        assert got == [(i, scores[i], i + 1) for i in range(keep)]
+    plan = ranking.gap_prune(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("p#" in line.split("row_number()")[1].split("]")[0] or ", [p#" in line for line in plan.splitlines() if "Window [row_number()" in line)
+    assert ranking.gap_prune(df.limit(0)).count() == 0
