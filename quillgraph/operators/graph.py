@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import durable
+
 
 def entity_importance(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """eid, degree (edges at either end), chunk_count and 0.3 degree + 0.7 chunk_count."""
@@ -101,24 +103,30 @@ def decayed_spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, pe
     return zero.unionAll(one).unionAll(two).groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """node, score: personalised power iteration over weighted undirected edges (src, dst, w).
 
     Mass leaves a node in proportion to its edges' weights; nodes without edges
-    keep only what the seeds (node, weight; summed to 1) give them. Every round
-    is one join and one aggregation on the node; the edge table is partitioned
-    by its source once and reused.
+    keep only what the seeds (node, weight; summed to 1) give them. Rounds end
+    when the scores change by less than `tolerance` in sum, after `rounds` at
+    most. Every round is one join and one aggregation on the node, and is
+    written to the checkpoint folder.
     """
     both = edges.select("src", "dst", "w").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     both = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     strength = both.groupBy("src").agg(F.sum("w").alias("s"))
-    arcs = both.join(strength, "src").select("src", "dst", (F.col("w") / F.col("s")).alias("p")).persist()
+    arcs = durable(both.join(strength, "src").select("src", "dst", (F.col("w") / F.col("s")).alias("p")))
     total = seeds.agg(F.sum("weight").alias("t"))
     start = seeds.groupBy("node").agg(F.sum("weight").alias("weight")).crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("t")).alias("score"))
-    rank = start
+    rank = start = durable(start)
     for _ in range(rounds):
         moved = rank.join(arcs, rank["node"] == arcs["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("score"))
-        rank = moved.unionAll(start.select("node", (F.col("score") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
+        new = durable(moved.unionAll(start.select("node", (F.col("score") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score")))
+        both = new.unionAll(rank.select("node", (-F.col("score")).alias("score"))).groupBy("node").agg(F.sum("score").alias("d"))
+        change = both.agg(F.sum(F.abs("d"))).first()[0]
+        rank = new
+        if change is None or change < tolerance:
+            break
     return rank
 
 

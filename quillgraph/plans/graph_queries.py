@@ -97,6 +97,13 @@ def personalized_pagerank(t: Tables):
     return G.pagerank(X.relations(t), seeds, rounds=_ROUNDS).withColumn("score", F.round("score", 6))
 
 
+@query()
+def personalized_pagerank_converged(t: Tables):
+    """The same until the scores change by less than 1e-6 in sum."""
+    seeds = t.spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "node long, weight double")
+    return G.pagerank(X.relations(t), seeds).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {SENTENCES}, {MENTIONS}, d AS (SELECT DISTINCT eid, doc_id FROM mention JOIN sent USING (sid) WHERE eid <= 5), n AS (SELECT eid, COUNT(*) AS n FROM d GROUP BY eid)
 SELECT doc_id, ROUND(SUM(1.0 / n), 6) AS vote, COUNT(*) AS seeds FROM d JOIN n USING (eid) GROUP BY doc_id""")
 def target_documents(t: Tables):

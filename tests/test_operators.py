@@ -221,3 +221,18 @@ def test_gap_over_many_ranges(spark):
     plan = ranking.gap_prune(df)._jdf.queryExecution().optimizedPlan().toString()
     assert all("p#" in line.split("row_number()")[1].split("]")[0] or ", [p#" in line for line in plan.splitlines() if "Window [row_number()" in line)
     assert ranking.gap_prune(df.limit(0)).count() == 0
+
+
+def test_pagerank_converges(spark):
+    """On a path of 12 nodes: mass reaches nodes over 6 hops off, as in iteration to the end."""
+    n, d = 12, 0.5
+    edges = spark.createDataFrame([(i, i + 1, 1.0 + i % 2) for i in range(n - 1)], "src long, dst long, w double")
+    w = [[0.0] * n for _ in range(n)]
+    for i in range(n - 1):
+        w[i][i + 1] = w[i + 1][i] = 1.0 + i % 2
+    seed = [1.0] + [0.0] * (n - 1)
+    score = seed
+    for _ in range(200):
+        score = [(1 - d) * seed[j] + d * sum(score[i] * w[i][j] / sum(w[i]) for i in range(n)) for j in range(n)]
+    got = {r["node"]: r["score"] for r in G.pagerank(edges, spark.createDataFrame([(0, 2.0)], "node long, weight double"), d).collect()}
+    assert set(got) == set(range(n)) and sum(abs(got[i] - score[i]) for i in range(n)) < 2e-6
