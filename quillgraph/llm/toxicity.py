@@ -21,6 +21,8 @@ from . import linear, textvec
 DIM = 1 << 20
 #: Most labelled rows that a model is fitted on.
 FIT_ROWS = 10000
+#: Passes over them, however many they are.
+PASSES = 8
 THRESHOLD = 0.7
 #: Descending lengths in bytes of the word stems that count as features too, so that inflected words are known by their stem.
 STEMS = (8, 7, 6, 5)
@@ -70,7 +72,7 @@ def frequent(rows: list[np.ndarray], least: int = LEAST_ROWS) -> list[np.ndarray
 
 
 def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5, least: int = LEAST_ROWS, seed: int = 11) -> Model:
-    """Three to eight passes over the rows in seeded order, fewer over more rows; features in fewer than `least` rows are left out. With one class or none, every score is that class's smoothed share."""
+    """PASSES passes over the rows in seeded order; features in fewer than `least` rows are left out. With one class or none, every score is that class's smoothed share."""
     none = np.zeros(0, np.int64)
     if len(rows) < 2 or len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
@@ -89,7 +91,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: fl
     def bias():
         return float(-z[DIM] / ((beta + np.sqrt(n[DIM])) / alpha + l2))
 
-    for _ in range(max(3, min(8, 40_000 // len(rows)))):
+    for _ in range(PASSES):
         for i in rng.permutation(len(rows)):
             idx = rows[i]
             w, b = current(idx), bias()
