@@ -1,36 +1,50 @@
-"""Streams give what the batch operators give."""
+"""Streams give what the batch operators give, for all events that the watermark has passed."""
 
+import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from quillgraph.operators import metering
 from quillgraph.streaming import usage
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    events = spark.read.parquet(f"{SMALL}/events.parquet")
-    src = str(tmp_path / "src")
-    from pyspark.sql import functions as F
+@pytest.fixture(scope="module")
+def source(spark, tmp_path_factory):
+    """The events in files by time, three rows of one time among them, and the first file once more at the end."""
+    folder = str(tmp_path_factory.mktemp("stream") / "events")
+    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ties = events.orderBy("ts", "event_id").limit(3).withColumns({"user_id": F.lit(7).cast("long"), "ts": F.lit("2024-01-05 10:00:00").cast("timestamp"), "event_id": F.col("event_id") + 10_000_000})
+    events = events.unionByName(ties)
+    for i, (low, high) in enumerate((("2023-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2025-01-01"))):
+        events.where((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
-    events = events.withColumn("ts", F.col("ts").cast("timestamp")).limit(300)
-    events.coalesce(1).write.parquet(src)
-    events = spark.read.parquet(src)
-    stream = usage.limited(usage.read_events(spark, src), 3600, 2)
-    q = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
-    got = sorted((r["event_id"], r["recent"], r["limited"]) for r in spark.table("limited").collect())
-    want = sorted((r["event_id"], r["recent"], r["limited"]) for r in metering.sliding_count(events, 3600, 2).collect())
-    assert len(got) == len(want) and sum(a == b for a, b in zip(got, want, strict=True)) >= len(want) - 2  # ties of a timestamp may count apart
-
-
-def test_hourly(spark, tmp_path):
-    from pyspark.sql import functions as F
 
-    src = str(tmp_path / "src2")
-    spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).limit(200).coalesce(1).write.parquet(src)
-    q = usage.hourly(usage.once(usage.read_events(spark, src))).writeStream.format("memory").queryName("hourly").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True)
-    try:
-        q = q.start()
-    except Exception:  # two stateful steps need append mode
-        q = usage.hourly(usage.read_events(spark, src)).writeStream.format("memory").queryName("hourly").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+def run(df, name, path):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(path)).trigger(availableNow=True).start()
     q.awaitTermination(240)
-    assert spark.sql("select sum(n) from hourly").first()[0] == 200
+    return df.sparkSession.table(name)
+
+
+def test_sliding_limit(spark, source, tmp_path):
+    got = {(r["event_id"], r["recent"], r["limited"]) for r in run(usage.limited(usage.timed(usage.read_events(spark, source), "1 hour"), 3600, 2), "limited", tmp_path / "cp").collect()}
+    events = spark.read.parquet(source)
+    mark = events.agg(F.max("ts")).first()[0]
+    passed = events.where(F.col("ts") <= F.lit(mark) - F.expr("interval 1 hour")).select("event_id")
+    want = {(r["event_id"], r["recent"], r["limited"]) for r in metering.sliding_count(events, 3600, 2).join(passed, "event_id").collect()}
+    assert got == want and len(got) > 900
+
+
+def test_hourly(spark, source, tmp_path):
+    events = spark.read.parquet(source)
+    twice = str(tmp_path / "twice")  # every event is delivered two times in its file
+    for day in ("2024-01-10", "2024-01-20", "2025-01-01"):
+        part = events.where(F.col("ts") < day)
+        part.unionByName(part).coalesce(1).write.mode("append").parquet(twice)
+        events = events.where(F.col("ts") >= day)
+    events = spark.read.parquet(source)
+    got = {(r["user_id"], r["bucket"], r["n"], round(r["total"], 6)) for r in run(usage.hourly(usage.once(usage.timed(usage.read_events(spark, twice)))), "hourly", tmp_path / "cp").collect()}
+    end = F.col("w.end") <= F.lit(events.agg(F.max("ts")).first()[0]) - F.expr("interval 2 hours")
+    rows = events.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).where(end)
+    want = {(r["user_id"], r["w"]["start"], r["n"], round(r["total"], 6)) for r in rows.collect()}
+    assert got == want and len(got) > 500
