@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_reputation import LIMIT, RULES, STRENGTH, Z
+from .url_reputation import LIFT, MOST, RULES, SECOND, STRENGTH, Z
 
 _rules = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
 
@@ -22,14 +22,23 @@ def _moments(level: str) -> str:
     SELECT COALESCE((SUM(bad) + 0.5) / (SUM(n) + 1.0), 0.5) AS m, COALESCE(SUM(bad * bad / n) / GREATEST(SUM(n), 1.0), 0.0) AS q, COUNT(*) AS k, COALESCE(GREATEST(SUM(n), 1.0), 1.0) AS t FROM {level})"""
 
 
+_BARE = "regexp_replace(host, ':[0-9]*$', '')"
+_ADDRESS = f"(regexp_matches({_BARE}, '^[0-9]+([.][0-9]+){{3}}$') OR starts_with({_BARE}, '['))"
+_DOUBLE = f"regexp_matches({_BARE}, '(^|[.])({'|'.join(SECOND)})[.][a-z]{{2}}$')"
+
+
+def _last(labels: int) -> str:
+    return f"regexp_extract({_BARE}, '((?:[^.]*[.]){{0,{labels - 1}}}[^.]*)$', 1)"
+
+
 OP3 = f"""
 WITH cut AS (
   SELECT page_id, regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^([^?#]*)', 1) AS rest FROM pages),
 seen AS (
-  SELECT page_id, lower(CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE COALESCE(rest, '') END) AS host,
+  SELECT page_id, translate(CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE COALESCE(rest, '') END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut),
 keyed AS (
-  SELECT *, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*[.]?[^.]*)$', 1) AS domain, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*)$', 1) AS suffix,
+  SELECT *, CASE WHEN {_ADDRESS} THEN {_BARE} WHEN {_DOUBLE} THEN {_last(3)} ELSE {_last(2)} END AS domain, CASE WHEN {_ADDRESS} THEN {_BARE} WHEN {_DOUBLE} THEN {_last(2)} ELSE {_last(1)} END AS suffix,
          TRY_CAST(NULLIF(regexp_extract(path, '/([0-9]{{1,18}})([.]html)?/?$', 1), '') AS BIGINT) AS key FROM seen),
 outcome AS (
   SELECT doc_id AS key, MAX(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 ELSE 0.0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -42,10 +51,10 @@ s AS (SELECT suffix, (bad + strength * m) / (n + strength) AS s_mean, n + streng
 d AS (SELECT domain, suffix, (bad + strength * s_mean) / (n + strength) AS d_mean, n + strength AS d_k FROM domains JOIN s USING (suffix), dm),
 h AS (SELECT host, (bad + strength * d_mean) / (n + strength) AS h_mean, n + strength AS h_k FROM hosts JOIN d USING (domain, suffix), hm),
 rated AS (
-  SELECT page_id, keyed.host, path, COALESCE(h_mean, d_mean, s_mean, m) AS mean, COALESCE(h_k, d_k, s_k, strength) AS k
+  SELECT page_id, keyed.host, path, COALESCE(h_mean, d_mean, s_mean, m) AS mean, COALESCE(h_k, d_k, s_k, strength) AS k, m
   FROM keyed LEFT JOIN h ON keyed.host = h.host LEFT JOIN d ON keyed.domain = d.domain LEFT JOIN s ON keyed.suffix = s.suffix, sm)
 SELECT page_id, host, path, {_case(None)} AS rule,
-       COALESCE({_case(1)}, CASE WHEN mean - {Z} * sqrt(mean * (1 - mean) / (k + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+       COALESCE({_case(1)}, CASE WHEN mean - {Z} * sqrt(mean * (1 - mean) / (k + 1)) > LEAST({MOST}, {LIFT} * m) THEN 'block' ELSE 'allow' END) AS verdict
 FROM rated
 """
 

@@ -10,6 +10,8 @@ import pytest
 from compare import connection, difference
 from conftest import SMALL
 
+from pyspark.sql import functions as F
+
 from quillgraph.llm import decontaminate, html_extract, packing, queries, sharding, telephony, token_counts, url_reputation
 
 
@@ -62,6 +64,33 @@ def test_url_sql(spark):
 def test_url_plan_is_native(spark):
     plan = url_reputation.judge(spark.read.parquet(f"{SMALL}/pages.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert plan.count("Join") < 10 and plan.count("Exchange") < 10
+
+
+def test_domains_and_suffixes(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "x.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.example.de:8080": ("example.de", "de"),
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""), "co.info": ("co.info", "info"),
+    }
+    domain, suffix = url_reputation.levels(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", domain, suffix).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
+def test_rule_ties_long_urls_and_repeated_pages(spark):
+    long = "http://h.org/fr/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, "http://a.b/c/1"), (1, "http://a.b/c/1"), (2, long)], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rules = [("b", "/c/", "block"), ("a.b", "/", "allow"), ("b", "/c/", "allow"), ("org", "/fr/", "allow")]
+    got = sorted(url_reputation.judge(pages, labels, rules).select("page_id", "rule", "verdict", F.length("path")).collect())
+    assert [tuple(r) for r in got] == [(1, "b/c/", "allow", 4), (1, "b/c/", "allow", 4), (2, "org/fr/", "allow", len(long) - 12)]
+
+
+def test_large_lookup_tables_are_joined_by_spread_keys(spark, monkeypatch):
+    pages, labels = spark.read.parquet(f"{SMALL}/pages.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    want = sorted(url_reputation.judge(pages, labels).collect())
+    monkeypatch.setattr(url_reputation, "BROADCAST_BYTES", -1)
+    assert sorted(url_reputation.judge(pages, labels).collect()) == want
 
 
 # -- decontamination --------------------------------------------------------
