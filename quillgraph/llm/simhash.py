@@ -8,16 +8,17 @@ Search: bits that go together are grouped into partitions, and thresholds
 t_i >= -1 with sum(t_i + 1) = distance + 1 are dealt to them: two
 fingerprints within `distance` bits must be within t_i bits on some
 partition i. Dynamic programming picks the thresholds (and the number of
-partitions) with the least cost, estimated from the bits' measured
-frequencies over all fingerprints: keys made plus candidates to verify. A
+partitions) with the least cost, estimated from how often all fingerprints
+have each bit and each two bits: keys made plus candidates to verify. A
 partition with threshold t makes a key for each choice of t of its bits to
 ignore; equal keys are candidates, and each pair is verified on all bits.
 
-A bucket of more than `cap` fingerprints makes no pairs. Its members link
-exactly by another way: two fingerprints within 2 bits share a point at
-most one bit from each, and for members of one bucket that bit is one in
-which the bucket's members differ; a point has at most 65 fingerprints near
-it, which all link. (For distances over 2 no bucket is capped.)
+A bucket of more than `cap` fingerprints makes no pairs. At a distance of 2
+its members link exactly by another way: two fingerprints within 2 bits share
+a point at most one bit from each, and for members of one bucket that bit is
+one in which the bucket's members differ; a point has at most 65 fingerprints
+near it, which all link. At other distances the bucket is dealt to blocks of
+about BLOCK, and a task compares two of them.
 
 Work is on distinct fingerprints, so copies, however many, cost one row.
 Links become components by alternating star contractions; every round is
@@ -30,7 +31,7 @@ such rows only has a null id. Repeated ids are rows of their own.
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
+from .names import spare
 
 SHINGLE, DISTANCE, SEED, CAP = 3, 2, 42, 64
+#: Rows of a fingerprint that make it a hot key, and keys of dropped rows that are broadcast.
+HOT, MOST_SENT = 100_000, 1 << 20
+#: Fingerprints of a block of a crowded bucket.
+BLOCK = 1024
 
 
 def fingerprint(text: str, k: int = SHINGLE) -> int:
@@ -115,18 +121,39 @@ def correlated_groups(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int = DISTANCE) -> tuple[float, list[int]]:
+def within(n: int, both: np.ndarray, bits: list[int], most: int) -> np.ndarray:
+    """Estimated share of fingerprint pairs that differ in at most 0 .. `most` of `bits`.
+
+    Mean and variance of the count of differing bits follow from how often all
+    fingerprints have each bit and each two bits; a beta-binomial law with
+    both is taken, so that bits that go together are not counted as independent.
+    """
+    size = len(bits)
+    one = np.diag(both)[bits] / max(n, 1)
+    p11 = both[np.ix_(bits, bits)] / max(n, 1)
+    p10 = np.maximum(one[:, None] - p11, 0)
+    p00 = np.maximum(1 - one[:, None] - one[None, :] + p11, 0)
+    joint = 2 * (p11 * p00 + p10 * p10.T)  # both bits differ in a pair
+    d = 2 * one * (1 - one)
+    np.fill_diagonal(joint, d)
+    mean = float(np.clip(d.mean(), 1e-6, 1 - 1e-6))
+    spread = max(float((joint - np.outer(d, d)).sum()), 0.0) / (size * mean * (1 - mean))
+    rho = float(np.clip((spread - 1) / (size - 1), 1e-6, 0.999)) if size > 1 else 1e-6
+    a, b = mean * (1 / rho - 1), (1 - mean) * (1 / rho - 1)
+    mass = [exp(lgamma(size + 1) - lgamma(x + 1) - lgamma(size - x + 1) + lgamma(x + a) + lgamma(size - x + b) - lgamma(size + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)) for x in range(most + 1)]
+    return np.cumsum(mass)
+
+
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int = DISTANCE) -> tuple[float, list[int]]:
     """(cost, thresholds) of the cheapest thresholds of at least -1 whose sum with the number of groups is distance + 1."""
     units = distance + 1
     cost = np.full((len(groups), units + 1), np.inf)
     for g, bits in enumerate(groups):
-        differ = 2 * p[bits] * (1 - p[bits])
-        poly = np.array([1.0])
-        for d in differ:
-            poly = np.convolve(poly, [1 - d, d])
+        most = min(distance, len(bits))
+        near = within(n, both, bits, most)
         cost[g, 0] = 0
-        for t in range(min(distance, len(bits)) + 1):
-            cost[g, t + 1] = n * comb(len(bits), t) + 0.5 * n * n * poly[: t + 1].sum() * comb(len(bits), t) ** 0.5
+        for t in range(most + 1):
+            cost[g, t + 1] = n * comb(len(bits), t) + 0.5 * n * n * near[t] * comb(len(bits), t) ** 0.5
     best = {0: (0.0, [])}
     for g in range(len(groups)):
         best = {u: min((c + cost[g, x], [*ts, x - 1]) for v, (c, ts) in best.items() for x in [u - v] if 0 <= x) for u in range(units + 1) if any(v <= u for v in best)}
@@ -137,11 +164,10 @@ def plan_masks(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[int]:
     """Signed masks of the bits that keys keep, for the cheapest number of groups and their thresholds."""
     from itertools import combinations
 
-    p = np.diag(both) / max(n, 1)
     plans = []
     for parts in range(1, distance + 3):
         groups = correlated_groups(n, both, parts)
-        cost, thresholds = allocate(n, p, groups, distance)
+        cost, thresholds = allocate(n, both, groups, distance)
         plans.append((cost, parts, groups, thresholds))
     _, _, groups, thresholds = min(plans, key=lambda x: x[:2])
     masks = []
@@ -152,17 +178,39 @@ def plan_masks(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[int]:
     return masks
 
 
+def _block_stars(distance: int):
+    """Ties of two blocks' fingerprints within `distance` bits: each to the smallest of its connected part."""
+
+    def ties(table: pa.Table) -> pa.Table:
+        fp = np.unique(table.column("fp").to_numpy())
+        bits = fp.view(np.uint64)
+        near = np.zeros((len(fp), len(fp)), bool)
+        for r in range(len(fp)):
+            near[r] = np.bitwise_count(bits ^ bits[r]) <= distance
+        low = np.arange(len(fp))
+        while True:
+            new = np.where(near, low[None, :], len(fp)).min(axis=1)
+            if (new == low).all():
+                break
+            low = new
+        some = low < np.arange(len(fp))
+        return pa.table({"u": pa.array(fp[low[some]], pa.int64()), "v": pa.array(fp[some], pa.int64())})
+
+    return ties
+
+
 def links(prints: DataFrame, distance: int = DISTANCE, cap: int = CAP) -> DataFrame:
-    """(u, v): links that connect exactly the distinct fingerprints `fp` that are connected by `distance` or fewer bits."""
+    """(u, v): pairs that connect exactly the distinct fingerprints `fp` that links of `distance` or fewer bits connect."""
     masks = plan_masks(*bit_statistics(prints), distance)
-    cap = cap if distance <= 2 else 1 << 62
     keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s")).select("fp", "s.m", "s.k")
     buckets = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("vary")).where("n > 1")
     shared = keyed.join(buckets, ["m", "k"])
     small = shared.where(F.col("n") <= cap).select("m", "k", "fp")
     pairs = small.alias("a").join(small.alias("b"), ["m", "k"]).where(F.expr(f"a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {int(distance)}")).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    if distance > 2:
-        return pairs.distinct()
+    if distance != 2:
+        blocks = F.ceil(F.col("n") / BLOCK)
+        dealt = shared.where(F.col("n") > cap).select("m", "k", "fp", F.pmod(F.xxhash64("fp"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        return pairs.unionByName(dealt.groupBy("m", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).applyInArrow(_block_stars(distance), "u long, v long")).distinct()
     crowded = shared.where(F.col("n") > cap).groupBy("fp").agg(F.bit_or("vary").alias("vary"))
     points = "concat(array(fp), transform(filter(sequence(0, 63), j -> (shiftrightunsigned(vary, j) & 1L) = 1L), j -> fp ^ shiftleft(1L, j)))"
     near = crowded.select("fp", F.explode(F.expr(points)).alias("z"))
@@ -192,6 +240,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def with_owner(rows: DataFrame, key: str, owner: DataFrame, how: str = "left") -> DataFrame:
+    """`rows` with the columns of `owner`, which has one row a `__key`. Keys of over HOT rows, of which there are at most rows / HOT, are looked up by broadcast; the others are joined."""
+    hot = durable(rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select("__hot"))
+    few = F.broadcast(hot)
+    known = owner.join(few, F.col("__key") == F.col("__hot"), "left_semi")
+    cold = rows.join(few, F.col(key) == F.col("__hot"), "left_anti").join(owner, F.col(key) == F.col("__key"), how)
+    crowded = rows.join(few, F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(known), F.col(key) == F.col("__key"), how)
+    return cold.unionByName(crowded).drop("__key")
+
+
 def _grouped(documents: DataFrame, distance: int, k: int, cap: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (hash of the text), fp, component_id and root (the component's smallest fingerprint) of every row."""
     text = F.col(text_col).cast("string")
@@ -200,8 +258,8 @@ def _grouped(documents: DataFrame, distance: int, k: int, cap: int, id_col: str,
     roots = components(links(prints.select("fp"), distance, cap))
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("lead").alias("component_id"))
-    owner = named.select(F.col("fp").alias("__fp"), "root").join(ids, "root")
-    return rows.join(owner, F.col("fp") == F.col("__fp")).select("doc_id", "th", "fp", "component_id", "root")
+    owner = durable(named.select(F.col("fp").alias("__key"), "root").join(ids, "root"))
+    return with_owner(rows, "fp", owner, "inner").select("doc_id", "th", "fp", "component_id", "root")
 
 
 def _hex(c: str) -> Column:
@@ -219,11 +277,23 @@ def keep_first(documents: DataFrame, distance: int = DISTANCE, k: int = SHINGLE,
 
 
 def first_rows(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """The first row of each root of `rows` (doc_id, th, root), which `documents` were grouped to."""
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("th").alias("h"))).alias("s"))
-    first = first.select(F.col("s.z").alias("__z1"), F.col("s.i").alias("__i1"), F.col("s.h").alias("__h1"))
-    marked = documents.withColumns({"__z": F.col("doc_id").isNull(), "__i": F.coalesce("doc_id", F.lit(0)), "__h": F.xxhash64(F.col("text").cast("string"))})
-    kept = marked.join(first, (F.col("__z") == F.col("__z1")) & (F.col("__i") == F.col("__i1")) & (F.col("__h") == F.col("__h1")), "left_semi")
-    # rows that repeat id and text; the keys are the join's, so the texts move once
-    rank = F.row_number().over(Window.partitionBy("__z", "__i", "__h").orderBy(F.lit(1)))
-    return kept.withColumn("__r", rank).where("__r = 1").drop("__r", "__z", "__i", "__h")
+    """The first row of each root of `rows` (doc_id, th, root), which `documents` were grouped to.
+
+    Which rows go is found out on ids and hashes. Up to MOST_SENT of them are broadcast, so that the texts stay
+    where they are; more are joined. Rows that repeat both id and text are found again by their keys.
+    """
+    z, i, h, r = spare(documents, "z", "i", "h", "r")
+    own = {z: F.col("doc_id").isNull(), i: F.coalesce("doc_id", F.lit(0)), h: F.col("th")}
+    keys = durable(rows.withColumns(own).groupBy(z, i, h).agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n")))
+    first = keys.groupBy("root").agg(F.min(F.struct(z, i, h)).alias("s")).select("s.*")
+    gone = durable(keys.join(first, [z, i, h], "left_anti").select(z, i, h))
+    again = durable(keys.where("n > 1").join(first, [z, i, h], "left_semi").select(z, i, h))
+    sent = lambda t: F.broadcast(t) if t.count() <= MOST_SENT else t
+    marked = documents.withColumns({z: own[z], i: own[i], h: F.xxhash64(F.col("text").cast("string"))})
+    kept = marked.join(sent(gone), [z, i, h], "left_anti")
+    if not again.isEmpty():
+        twice = sent(again)
+        number = F.row_number().over(Window.partitionBy(z, i, h).orderBy(F.lit(1)))
+        one = kept.join(twice, [z, i, h], "left_semi").withColumn(r, number).where(F.col(r) == 1).drop(r)
+        kept = kept.join(twice, [z, i, h], "left_anti").unionByName(one)
+    return kept.select(*documents.columns)

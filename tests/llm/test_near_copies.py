@@ -56,6 +56,24 @@ def test_a_bucket_of_two_groups(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in near_copies.keep_first(df).collect()) == [0, 1, 2, 3, 6, 9]
 
 
+def test_many_blocks_of_one_bucket(spark, monkeypatch):
+    """Blocks of a few texts give the groups that one block gives."""
+    texts = [t or "" for t in cases()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(x["doc_id"] for x in near_copies.keep_first(df).collect())
+    monkeypatch.setattr(near_copies, "_sketch", same_bucket())
+    monkeypatch.setattr(near_copies, "BLOCK", 3000)
+    assert sorted(x["doc_id"] for x in near_copies.keep_first(df).collect()) == want
+
+
+def test_matrix_of_similar_pairs():
+    import numpy as np
+
+    sets = [near_copies.shingles(t) for t in cases()]
+    got = near_copies.alike_pairs(sets[:40], sets[30:])
+    assert (got == np.array([[near_copies.alike(a, b) for b in sets[30:]] for a in sets[:40]])).all()
+
+
 def same_bucket():
     from pyspark.sql import functions as F
 

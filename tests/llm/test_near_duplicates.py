@@ -46,9 +46,9 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text or "") == slow_print(text)
 
 
-@pytest.mark.parametrize("cap", [2, 64])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_against_all_pairs(spark, cap, seed):
+@pytest.mark.parametrize(("cap", "seed", "distance", "block"), [(2, 1, 2, 1024), (64, 1, 2, 1024), (2, 2, 2, 1024), (64, 2, 2, 1024), (2, 1, 1, 8), (2, 2, 0, 8), (2, 1, 3, 8), (64, 2, 3, 1024)])
+def test_links_against_all_pairs(spark, monkeypatch, cap, seed, distance, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(seed)
     prints = set()
     for _ in range(12):
@@ -59,9 +59,9 @@ def test_links_against_all_pairs(spark, cap, seed):
             if r.random() < 0.4:
                 x ^= 1 << r.randrange(64)
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    own = slow_components(prints, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 2)
+    own = slow_components(prints, lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= distance)
     want = {p: prints[o] for p, o in zip(prints, own, strict=True)}
-    found = simhash.components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), cap=cap))
+    found = simhash.components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), distance, cap))
     roots = {row["node"]: row["root"] for row in found.collect()}
     assert {p: roots.get(p, p) for p in prints} == want
 
@@ -98,3 +98,24 @@ def test_thresholds_cover_the_distance():
         for _ in range(300):
             diff = sum(1 << b for b in r.sample(range(64), 2))
             assert any(m & diff == 0 for m in masks)
+
+
+def test_hot_fingerprints_are_looked_up_by_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "one text that is copied all over again and again") for i in range(9)] + [(20, "another text of its own"), (21, "another text of its own")], "doc_id long, text string")
+    want = sorted(simhash.near_duplicates(df).collect())
+    monkeypatch.setattr(simhash, "HOT", 3)
+    assert sorted(simhash.near_duplicates(df).collect()) == want
+    monkeypatch.setattr(simhash, "MOST_SENT", 0)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == [0, 20]
+
+
+def test_correlated_bits_are_not_taken_for_independent():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = np.repeat(r.random((4000, 16)) < 0.5, 4, axis=1)  # every bit stands four times
+    both = (x.T.astype(float) @ x).round()
+    got = simhash.within(len(x), both, list(range(16)), 2)
+    y = x[r.permutation(len(x))][:, :16] != x[:, :16]
+    want = [(y.sum(axis=1) <= t).mean() for t in range(3)]
+    assert all(0.2 * w < g < 5 * w for g, w in zip(got, want, strict=True)), (got, want)

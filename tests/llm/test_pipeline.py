@@ -4,7 +4,9 @@ import pytest
 from conftest import SMALL
 
 import corpus_pipeline
-from quillgraph.llm import decontaminate, quality, simhash, toxicity
+from quillgraph.llm import decontaminate, quality, toxicity
+from test_near_copies import slow_near
+from test_near_duplicates import slow_components
 
 
 def test_registered():
@@ -22,8 +24,9 @@ def test_run(spark):
     bad = {r["doc_id"] for r in quality.classify(docs, quality.fit(docs, labels)).where("predicted = 0").collect()}
     left = docs.toPandas()
     left = left[~left["doc_id"].isin(tox | bad)]
-    comp = simhash.near_duplicates(spark.createDataFrame(left)).collect()
-    keep = {r["doc_id"] for r in comp if r["doc_id"] == r["component_id"]}
+    ids, texts = left["doc_id"].tolist(), left["text"].tolist()
+    own = slow_components(texts, slow_near)  # all pairs of texts
+    keep = {min(i for i, o in zip(ids, own, strict=True) if o == k) for k in set(own)}
     dirty = {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}
     assert sorted(r["doc_id"] for r in out) == sorted(keep - dirty)
 
