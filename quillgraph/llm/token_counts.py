@@ -2,73 +2,142 @@
 
 Byte-level BPE splits a text into pre-tokens before it merges bytes, and none
 of them holds a white-space run that follows other signs. A text can thus be
-cut where one of a set of plainly safe signs is followed by a blank or line
-end, and the counts of its pieces add up. Pieces repeat a lot: each distinct
-one is encoded once (in batches balanced by bytes) and remembered by the
-worker; longer pieces are encoded but not remembered.
+cut where a printable ASCII sign is followed by a blank or line feed, and the
+counts of its pieces add up; long texts are split there like others. Whether
+this holds is read from the tokenizer's file (`cuttable`); texts are encoded
+whole where it does not.
+
+Pieces of all texts of an Arrow batch are worked on together: short ones are
+told apart by a 64-bit hash of their bytes, each distinct one that the worker
+does not know yet is encoded once, and longer ones are encoded as they come.
+Calls to the library take batches of about BATCH_BYTES of UTF-8, whatever the
+texts they come from.
 
 Special strings inside a text are handled as the library's default does; they
-hold no white space, so no cut falls inside one.
+hold no white space, so no cut falls inside one. Null and empty texts have no
+tokens. Repeated rows each have a row; further columns are not kept; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
+import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cut between a printable ASCII or Latin letter and a blank or line feed.
-SAFE_CUT = re.compile("(?<=[!-~À-ɏ])(?=[ \n])")
+from . import textvec
+
 LIMIT = 512
-#: Pieces that a worker remembers, the most characters of one, and bytes of one call to the library.
-REMEMBERED, SHORT, BATCH_BYTES = 400_000, 64, 1 << 20
+#: Pieces that a worker remembers, the most bytes of one, and UTF-8 bytes of one call to the library.
+REMEMBERED, SHORT, BATCH_BYTES = 2_000_000, 64, 1 << 20
+#: Short pieces that are looked up together.
+TOGETHER = 1 << 19
 
 _counters: dict[str, Counter] = {}
+_PRINTABLE = np.array([0x21 <= b <= 0x7E for b in range(256)])
+_BLANK = np.array([b in (0x20, 0x0A) for b in range(256)])
+_VALUE = textvec.mix(np.arange(1001, 1257, dtype=np.uint64))
+_POWER = np.cumprod(np.full(SHORT + 1, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
+
+
+def cuttable(file: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the library's own pattern, and no special string holds or eats white space."""
+    pre = file.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    tight = all(not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in file.get("added_tokens") or [])
+    return bool(plain and tight and file.get("normalizer") is None and (file.get("model") or {}).get("type") == "BPE")
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts begin: at each text that is not empty, and before a blank or line feed that follows a printable ASCII sign."""
+    found = [offsets[:-1][np.diff(offsets) > 0]]
+    for lo in range(1, len(data), textvec.CHUNK):
+        part = data[lo - 1 : lo + textvec.CHUNK]
+        found.append(np.flatnonzero(_PRINTABLE[part[:-1]] & _BLANK[part[1:]]) + lo)
+    starts = np.sort(np.concatenate(found))
+    return starts[np.append(True, starts[1:] != starts[:-1])] if len(starts) else starts
+
+
+def balanced(sizes: np.ndarray, most: int = BATCH_BYTES):
+    """Ranges of consecutive pieces of at most `most` bytes together; a larger piece is alone."""
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        before = ends[lo] - sizes[lo]
+        hi = max(int(np.searchsorted(ends, before + most, side="right")), lo + 1)
+        yield lo, hi
+        lo = hi
 
 
 class Counter:
-    """Counts tokens with one tokenizer file; kept by the worker process."""
+    """Counts tokens with one tokenizer file (.json or .model); kept by the worker process."""
 
     def __init__(self, path: str):
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cluster runs one task a core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.known: dict[str, int] = {}
-
-    def _encode(self, pieces: list[str]) -> dict[str, int]:
-        out: dict[str, int] = {}
-        batch, size = [], 0
-        for i, p in enumerate(pieces):
-            batch.append(p)
-            size += len(p)
-            if size >= BATCH_BYTES or i + 1 == len(pieces):
-                out.update(zip(batch, (len(e) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
-                batch, size = [], 0
+        if path.endswith(".model"):
+            import sentencepiece
+
+            self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.cut, self._lengths = False, lambda texts: [len(x) for x in self.pieces.encode(texts, num_threads=1)]
+        else:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cluster runs one task a core
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_padding()
+            tokenizer.no_truncation()
+            self.cut = cuttable(json.loads(tokenizer.to_str()))
+            self._lengths = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Token counts of byte ranges, in batches balanced by bytes."""
+        out = np.zeros(len(starts), np.int64)
+        for lo, hi in balanced(sizes):
+            out[lo:hi] = self._lengths([data[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(starts[lo:hi].tolist(), sizes[lo:hi].tolist(), strict=True)])
         return out
 
-    def count(self, texts: list[str]) -> list[int]:
-        counts = []
-        for text in texts:
-            pieces = SAFE_CUT.split(text)
-            known = self.known
-            try:
-                counts.append(sum(map(known.__getitem__, pieces)))
-                continue
-            except KeyError:
-                pass
-            new = self._encode([p for p in set(pieces) if p not in known])
-            counts.append(sum(known[p] if p in known else new[p] for p in pieces))
-            if len(known) > REMEMBERED:
-                known.clear()
-            known.update((p, n) for p, n in new.items() if len(p) <= SHORT)
-        return counts
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text of a batch (UTF-8 bytes and offsets)."""
+        sums = np.zeros(len(offsets) - 1, np.int64)
+        starts = piece_starts(data, offsets) if self.cut else offsets[:-1][np.diff(offsets) > 0]
+        if not len(starts):
+            return sums
+        sizes = np.diff(np.append(starts, len(data)))
+        counts = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(sizes <= SHORT) if self.cut else np.zeros(0, np.int64)
+        long = np.setdiff1d(np.arange(len(starts)), short, assume_unique=True)
+        counts[long] = self._encoded(data, starts[long], sizes[long])
+        for lo in range(0, len(short), TOGETHER):
+            own = short[lo : lo + TOGETHER]
+            counts[own] = self._remembered(data, starts[own], sizes[own])
+        np.add.at(sums, np.searchsorted(offsets, starts, side="right") - 1, counts)
+        return sums
+
+    def _remembered(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        with np.errstate(over="ignore"):
+            terms = _VALUE[data[np.repeat(starts, sizes) + place]] * _POWER[place]
+            keys = textvec.mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64))
+        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.known, distinct)
+        old = np.zeros(len(distinct), bool)
+        inside = slot < len(self.known)
+        old[inside] = self.known[slot[inside]] == distinct[inside]
+        counts = np.zeros(len(distinct), np.int64)
+        counts[old] = self.tokens[slot[old]]
+        new = ~old
+        counts[new] = self._encoded(data, starts[at[new]], sizes[at[new]])
+        if len(self.known) > REMEMBERED:
+            self.known, self.tokens = distinct, counts
+        else:
+            self.known, self.tokens = np.insert(self.known, slot[new], distinct[new]), np.insert(self.tokens, slot[new], counts[new])
+        return counts[inverse]
 
 
 def counter(path: str) -> Counter:
@@ -82,7 +151,7 @@ def n_tokens(text: Column, path: str) -> Column:
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(counter(path).count([t or "" for t in texts.to_pylist()]), pa.int64())
+        return pa.array(counter(path).count(*textvec.utf8(texts)), pa.int64())
 
     return count(text)
 
