@@ -3,15 +3,17 @@
 The lengths of all texts make one histogram; dynamic programming over it
 chooses the bucket bounds that minimise padding for a given number of
 buckets. Inside each bucket rows form batches of ``token_budget // bound``
-rows, so that no padded batch exceeds the budget (a row longer than the
-budget is a batch of its own).
+rows, so that no padded batch exceeds the budget. A row longer than the budget
+is a batch of its own and marked in `over_budget`.
 
-Histogram bins are single lengths up to 2048 and 1/256 of an octave beyond,
-so their number is bounded whatever the input; a bin's bound is the greatest
-length in it, so every row fits its bucket.
+The histogram has one bin for each length that occurs, so its size is bounded
+by the longest text and not by the number of rows, and the bounds are the
+best there are.
 
-A null text has length 0 and goes to the first bucket. An empty table gives
-an empty result.
+Lengths are words by default; `length` may be any other count, such as
+`token_counts.n_tokens`. A null text has length 0 and goes to the first
+bucket. Rows of equal text have equal lengths and may share a bucket and a
+batch. An empty table gives an empty result; further columns are not kept.
 """
 
 from __future__ import annotations
@@ -31,33 +33,47 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def length_bin(n: Column) -> Column:
-    """The length itself up to 2048, then the upper end of its 1/256 of an octave."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 8)
-    return F.when(n <= 2048, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Ascending bounds, of `lengths`, with the least total padding; `lengths` ascend."""
+    """Ascending bounds, of `lengths`, with the least total padding; `lengths` ascend.
+
+    With b rows up to the i-th length, a bucket of the lengths i+1 .. j costs
+    length_j * (b_j - b_i) less a constant: for each i a line in length_j. Lines
+    come with falling slopes and are asked at growing places, so each layer
+    walks along their lower hull once. All numbers are whole.
+    """
     m = len(lengths)
     if m == 0:
         return []
     k = min(buckets, m)
-    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    bound = lengths.astype(np.float64)
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
+    bound = [int(x) for x in lengths]
+    total = [0]
+    for c in counts:
+        total.append(total[-1] + int(c))
+    infinite = 1 << 100
+    best = [0] + [infinite] * m
     choice = np.zeros((k, m + 1), np.int64)
     for layer in range(k):
-        new = np.full(m + 1, np.inf)
+        new = [infinite] * (m + 1)
+        hull: list[tuple[int, int, int]] = []  # (slope, height, i)
+        at = 0
         for j in range(1, m + 1):
-            cost = best[:j] + bound[j - 1] * (total[j] - total[:j])  # all rows of bins i..j-1 padded to the j-th length
-            i = int(np.argmin(cost))
-            new[j], choice[layer, j] = cost[i], i
+            if best[j - 1] < infinite:
+                line = (-total[j - 1], best[j - 1], j - 1)
+                while len(hull) >= 2 and (line[1] - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - line[0]):
+                    hull.pop()
+                hull.append(line)
+                at = min(at, len(hull) - 1)
+            if not hull:
+                continue
+            x = bound[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            slope, height, i = hull[at]
+            new[j], choice[layer, j] = slope * x + height + x * total[j], i
         best = new
     bounds, j = [], m
     for layer in range(k - 1, -1, -1):
-        bounds.append(int(lengths[j - 1]))
+        bounds.append(bound[j - 1])
         j = int(choice[layer, j])
         if j == 0:
             break
@@ -66,12 +82,12 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 
 def bucket_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Bounds for a table with a column n_tokens, from the histogram over all its rows."""
-    bins = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n")).orderBy("top").toArrow()
-    return best_bounds(bins.column("top").to_numpy(), bins.column("n").to_numpy(), buckets)
+    bins = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
+    return best_bounds(bins.column("n_tokens").to_numpy(), bins.column("n").to_numpy(), buckets)
 
 
 def pack(documents: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id", text_col: str = "text", length=words) -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_len, batch, slot and padding of every row.
+    """doc_id, n_tokens, bucket, bucket_len, batch, slot, padding and over_budget of every row.
 
     `batch` numbers the batches of a bucket from 0, `slot` the rows of a batch.
     Rows that repeat an id are rows of their own.
@@ -96,4 +112,5 @@ def pack(documents: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN
         F.floor(F.col("__i") / capacity).cast("long").alias("batch"),
         (F.col("__i") % capacity).cast("int").alias("slot"),
         (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        (F.col("n_tokens") > token_budget).alias("over_budget"),
     )
