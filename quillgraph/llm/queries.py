@@ -40,7 +40,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.media(table(spark, sf_dir, "documents"), keep_media=False, keep_pcm=False).drop("media", "pcm_16k")
+    return telephony.media(table(spark, sf_dir, "documents"), keep_media=False, keep_pcm=False).drop("media", "pcm_16k")  # the media are in the table that was read back
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

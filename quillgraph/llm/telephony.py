@@ -1,14 +1,19 @@
 """Media columns: telephony audio.
 
 A payload of bytes is stored as a WAV file of 8-bit G.711 samples (8 kHz,
-mono), which keeps it byte for byte. Reading expands mu-law or A-law by
-lookup tables, or decodes IMA ADPCM blocks, one numpy step for each sample
-position across all blocks at once; the linear samples can be resampled to
-16 kHz and stored as 16-bit PCM.
-
-Null texts are empty payloads; a payload is padded with zero bytes to a
-positive multiple of 64. Texts are worked on in groups of about 2 MB, so
-memory does not follow the batch.
+mono), which keeps it byte for byte, in a Parquet table. Reading takes the
+stored bytes from there and expands mu-law or A-law by lookup tables, or
+decodes IMA ADPCM blocks, one numpy step for each sample position across all
+blocks at once; the linear samples are resampled to 16 kHz and can be stored
+as 16-bit PCM.
+
+Null and empty texts are empty payloads; a payload is padded with zero bytes
+to a positive multiple of 64. Short files are worked on in groups of about
+SEGMENT bytes and long ones in segments of as many, so that the arrays of the
+samples do not grow with a text; its file and PCM, which are single values,
+do. Rows that repeat an id are rows of their own and equal texts give equal
+values; a column of the input that is called like one of the result is not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .durable import shared_folder
 
 BLOCK, RATE = 64, 8000
+#: Bytes of payload that are decoded at a time; a multiple of BLOCK.
+SEGMENT = 1 << 20
 #: Format tags of WAV files.
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 
@@ -95,7 +103,7 @@ def wav(data: bytes, codec: str = "mulaw", rate: int = RATE, bits: int = 8, bloc
 
 def unwav(file: bytes) -> tuple[str, int, memoryview]:
     """(codec, rate, coded data) of a mono WAV file; the data is a view, not a copy."""
-    view = memoryview(file)
+    view = memoryview(file).cast("B")
     if view[:4] != b"RIFF" or view[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, tag, rate = 12, None, 0
@@ -134,11 +142,71 @@ def _summary(samples: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, in
     return list(zip(np.add.reduceat(wide * wide, starts).tolist(), np.maximum.reduceat(np.abs(wide), starts).tolist(), np.add.reduceat(turn, starts).tolist(), strict=True))
 
 
-FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, pcm_16k binary"
+def _signals(coded: np.ndarray) -> dict[str, np.ndarray]:
+    return {"mulaw": TABLES["mulaw"][coded], "alaw": TABLES["alaw"][coded], "ima": decode_ima(coded.reshape(-1, BLOCK)).reshape(-1)}
 
 
-def media(documents: DataFrame, keep_media: bool = True, keep_pcm: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and FIELDS of every row: the stored WAV file, the 16 kHz PCM made from it, and digests of what is read back.
+def _named(rows: dict[str, tuple[int, int, int]], pcm_crc: int) -> str:
+    return ";".join(f"{name}:energy={e},peak={p},turns={t}" for name, (e, p, t) in rows.items()) + f";pcm16k:crc32={pcm_crc}"
+
+
+def features(payloads: list[memoryview], keep_pcm: bool = False) -> list[tuple[str, bytes | None]]:
+    """(feature, 16 kHz PCM or None) of each payload; together they are short, or there is one."""
+    if len(payloads) == 1 and len(payloads[0]) > SEGMENT:
+        return [_long_features(payloads[0], keep_pcm)]
+    sizes = np.array([len(b) for b in payloads])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    coded = np.frombuffer(b"".join(payloads), np.uint8)
+    signals = _signals(coded)
+    wide = double_rate(signals["mulaw"], starts)
+    per = len(signals["ima"]) // (len(coded) // BLOCK)
+    at = {"mulaw": starts, "alaw": starts, "ima": starts // BLOCK * per}
+    found = {name: _summary(signals[name], at[name]) for name in signals}
+    out = []
+    for k, (a, n) in enumerate(zip(starts, sizes, strict=True)):
+        pcm = wide[2 * a : 2 * (a + n)].tobytes()
+        out.append((_named({name: rows[k] for name, rows in found.items()}, zlib.crc32(pcm)), pcm if keep_pcm else None))
+    return out
+
+
+def _long_features(payload_: memoryview, keep_pcm: bool) -> tuple[str, bytes | None]:
+    """The same for one long payload, segment by segment; what stands between two segments is counted too."""
+    whole = np.frombuffer(payload_, np.uint8)
+    rows, last, crc, kept = dict.fromkeys(("mulaw", "alaw", "ima"), (0, 0, 0)), {}, 0, []
+    for lo in range(0, len(whole), SEGMENT):
+        coded = whole[lo : lo + SEGMENT]
+        for name, samples in _signals(coded).items():
+            (energy, peak, turns) = _summary(samples, np.zeros(1, np.int64))[0]
+            e, p, t = rows[name]
+            between = int(bool((samples[0] < 0) != (last[name] < 0))) if name in last else 0
+            rows[name], last[name] = (e + energy, max(p, peak), t + turns + between), samples[-1]
+        linear = TABLES["mulaw"][whole[lo : lo + SEGMENT + 1]]  # with the next segment's first sample
+        pcm = double_rate(linear, np.zeros(1, np.int64))[: 2 * len(coded)].tobytes()
+        crc = zlib.crc32(pcm, crc)
+        if keep_pcm:
+            kept.append(pcm)
+    return _named(rows, crc), b"".join(kept) if keep_pcm else None
+
+
+def stored(documents: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes and media (the WAV file) of every row."""
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = textvec.utf8(batch.column(1))
+            for lo, hi in textvec.groups(offsets, SEGMENT):
+                files = [wav(payload(data[a:b].tobytes()), codec) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1]), pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(work, "doc_id long, n_bytes long, media binary")
+
+
+FIELDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, pcm_16k binary"
+
+
+def read_back(table: DataFrame, keep_media: bool = True, keep_pcm: bool = True) -> DataFrame:
+    """doc_id, n_bytes and FIELDS of every row of a table of stored media.
 
     `feature` names energy, peak and sign changes of the stored bytes expanded as mu-law, as A-law and as ADPCM
     blocks, and the checksum of the resampled PCM. `keep_media` and `keep_pcm` leave the large columns null.
@@ -146,36 +214,32 @@ def media(documents: DataFrame, keep_media: bool = True, keep_pcm: bool = True,
 
     def work(batches):
         for batch in batches:
-            data, offsets = textvec.utf8(batch.column(1))
-            for lo, hi in textvec.groups(offsets, 2 << 20):
-                texts = [data[a:b].tobytes() for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
-                files = [wav(payload(t)) for t in texts]
+            data = batch.column(2).cast(pa.large_binary())
+            ends = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, data.offset * 8)
+            for lo, hi in textvec.groups(ends, SEGMENT):
+                files = [memoryview(data[i].as_buffer()) for i in range(lo, hi)]
                 back = [unwav(f)[2] for f in files]
-                sizes = np.array([len(b) for b in back])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                coded = np.frombuffer(b"".join(back), np.uint8)
-                linear = TABLES["mulaw"][coded]
-                wide = double_rate(linear, starts)
-                ima = decode_ima(coded.reshape(-1, BLOCK))
-                per = ima.shape[1]
-                found = zip(_summary(linear, starts), _summary(TABLES["alaw"][coded], starts), _summary(ima.reshape(-1), starts // BLOCK * per), strict=True)
-                pcm = [wide[2 * s : 2 * (s + n)].tobytes() for s, n in zip(starts, sizes, strict=True)]
-                feature = [";".join(f"{name}:energy={e},peak={p},turns={t}" for name, (e, p, t) in zip(("mulaw", "alaw", "ima"), row, strict=True)) + f";pcm16k:crc32={zlib.crc32(x)}" for row, x in zip(found, pcm, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in back]),
-                        pa.array([zlib.crc32(b[-BLOCK:]) for b in back], pa.int64()),
-                        pa.array([len(f) for f in files], pa.int64()),
-                        pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                        pa.array(feature),
-                        pa.array(files if keep_media else [None] * len(files), pa.binary()),
-                        pa.array(pcm if keep_pcm else [None] * len(pcm), pa.binary()),
-                    ],
-                    names=["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]],
-                )
-
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(work, f"doc_id long, {FIELDS}")
+                found = features(back, keep_pcm)
+                columns = [
+                    pa.array([len(b) for b in back], pa.int64()),
+                    pa.array([hashlib.sha256(b).hexdigest() for b in back]),
+                    pa.array([zlib.crc32(b[-BLOCK:]) for b in back], pa.int64()),
+                    pa.array([len(f) for f in files], pa.int64()),
+                    pa.array([hashlib.sha256(f).hexdigest() for f in files]),
+                    pa.array([f for f, _ in found]),
+                    batch.column(2).slice(lo, hi - lo) if keep_media else pa.nulls(hi - lo, pa.binary()),
+                    pa.array([x for _, x in found], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=["doc_id", "n_bytes", *[f.split()[0] for f in FIELDS.split(", ")]])
+
+    return table.select("doc_id", "n_bytes", "media").mapInArrow(work, f"doc_id long, n_bytes long, {FIELDS}")
+
+
+def media(documents: DataFrame, folder: str | None = None, keep_media: bool = True, keep_pcm: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every text as a media file in a Parquet table in `folder` (default: a new one in the shared checkpoint folder) and returns `read_back` of that table."""
+    from uuid import uuid4
+
+    spark = documents.sparkSession
+    folder = folder or f"{shared_folder(spark)}/media-{uuid4()}"
+    stored(documents, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(folder)
+    return read_back(spark.read.parquet(folder), keep_media, keep_pcm)
