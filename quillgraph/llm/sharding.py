@@ -7,8 +7,13 @@ falls below.  Of the permuted position p, ``p mod shards`` is the shard and
 ``p div shards`` the slot: shard and slot of any row number are computable
 without the data, and shard sizes differ by at most one.
 
-Null texts have size 1 and checksum 0; rows that repeat an id are rows of
-their own.  An empty table gives an empty result.
+Null texts have size 1 and checksum 0; texts of any length are measured whole.
+Equal texts are rows of their own: each has a number, and so a shard, by
+itself, and rows that agree in id, size and checksum may swap numbers.  An
+empty table gives an empty result; further columns are not kept.
+
+The texts are read once: ids, sizes and checksums are written to the shared
+checkpoint folder, and counts and numbers come from there.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
 from .numbering import numbered
 
 ROUNDS = 6
@@ -51,10 +57,12 @@ def permute(numbers: np.ndarray, n: int, seed: int = 42) -> np.ndarray:
 def shard(documents: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot and grown_shard (null: the law is `rows`) of every row."""
     text = F.col(text_col).cast("string")
-    slim = documents.select(
-        F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    slim = durable(
+        documents.select(
+            F.col(id_col).alias("doc_id"),
+            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+            F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        )
     )
     total = slim.agg(F.count(F.lit(1)).alias("__n"))
     rows = numbered(slim, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "row_number").crossJoin(F.broadcast(total))  # one row
