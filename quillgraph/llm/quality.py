@@ -9,6 +9,12 @@ n-grams are taken from two views of a text: its lower-cased words (1 and 2)
 and the words' shapes (1 to 3), in which a run of lower-case letters,
 capitals or digits is one sign, other signs stand for themselves, and a word
 that repeats the one before it has a sign of its own.
+
+Null texts count as empty and have a score like others; texts of any length
+are read whole. Rows that repeat an id are scored each, and each may be a
+training row. Labels that are null or have no id are ignored; with labels of
+one class, or none, every score is that class's smoothed share. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linear, textvec
+from .names import spare
 
 DIM = 1 << 18
 #: Most labelled rows that a model is fitted on.
@@ -104,7 +111,7 @@ class Model:
 def fit_rows(rows: list[np.ndarray], y: np.ndarray) -> Model:
     """Fit on feature rows. With rows of one class or none, every score is that class's smoothed share (0.5 without rows)."""
     ratio = log_count_ratio(rows, y)
-    if len(rows) < 10 or len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(DIM, np.float32), np.ones(DIM, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     aside = np.arange(len(rows)) % 5 == 4
@@ -148,5 +155,6 @@ def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of `documents`, all columns as they are, whose text scores as good."""
-    marked = documents.withColumn("__score", score_column(documents.sparkSession, model, F.col("text")))
-    return marked.where(F.col("__score") >= THRESHOLD).drop("__score")
+    (name,) = spare(documents, "score")
+    marked = documents.withColumn(name, score_column(documents.sparkSession, model, F.col("text").cast("string")))
+    return marked.where(F.col(name) >= THRESHOLD).drop(name)

@@ -5,6 +5,12 @@ text (letters, digits and non-ASCII characters make words; A-Z count as a-z),
 and the stems of its longer words.
 Each coordinate has a learning rate of its own, and the L1 term keeps most
 weights at exactly zero: only the others are broadcast.
+
+Null texts count as empty and have a score like others; texts of any length
+are read whole. Rows that repeat an id are scored each, and each may be a
+training row. Labels that are null or have no id are ignored; with labels of
+one class, or none, every score is that class's smoothed share. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linear, textvec
+from .names import spare
 
 DIM = 1 << 20
 #: Most labelled rows that a model is fitted on.
@@ -136,5 +143,6 @@ def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def keep_clean(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of `documents`, all columns as they are, whose text does not score as toxic."""
-    marked = documents.withColumn("__score", score_column(documents.sparkSession, model, F.col("text")))
-    return marked.where(F.col("__score") < THRESHOLD).drop("__score")
+    (name,) = spare(documents, "score")
+    marked = documents.withColumn(name, score_column(documents.sparkSession, model, F.col("text").cast("string")))
+    return marked.where(F.col(name) < THRESHOLD).drop(name)
