@@ -3,7 +3,7 @@
 A tolerant parser builds the tree of block elements; text that stands
 directly in a block, between its child blocks, is a node of its own. Inline
 markup belongs to the text around it. Each node has features: its subtree's
-text and its density in tags and links, its share of the page, attribute
+text and its density in tags and links, its share of the page, hashed attribute
 tokens (class, id, role) of itself and its ancestors, tag, depth, and how it
 compares with its siblings. Trees trained on generated pages of many layouts
 give each node the log-odds that it holds main text.
@@ -22,7 +22,8 @@ import functools
 import html
 import random
 import re
-from bisect import bisect_left
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,27 +37,22 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 OPEN = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del object math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements that end the block before them; all others, unknown ones too, belong to the text around them.
+BLOCKS = frozenset("html body div section article main nav header footer aside form ul ol menu dir li p h1 h2 h3 h4 h5 h6 hgroup blockquote pre table caption colgroup thead tbody tfoot tr td th figure figcaption dl dd dt address details summary dialog fieldset legend hr center search option optgroup noscript frameset noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe svg select annotation annotation-xml canvas audio video head".split())
+#: Elements whose content is no text of the page; they part no block.
+RAW = frozenset("script style template textarea title iframe svg select button annotation annotation-xml canvas audio video head datalist".split())
 #: Those of them that run to the page's end if they are not closed; of the others only the tag goes.
 TO_END = frozenset("script style textarea title".split())
 #: Those that hold none of their own kind: another one that opens shows that the first is not closed.
-FLAT = frozenset("iframe select annotation canvas audio video".split())
+FLAT = frozenset("iframe select button annotation canvas audio video datalist".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 BARRIER = frozenset("table ul ol dl div article section main body nav aside header footer form blockquote".split())
-TAGS = "#text html body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 blockquote pre table tr td figure figcaption dl dd dt address details button fieldset".split()
-#: Words of class, id and role that features name; all others count together.
-ASIDE = (
-    "nav menu navbar breadcrumb breadcrumbs topbar masthead banner header footer foot copyright sidebar side aside widget related recommend more ad ads advert advertisement adv sponsor sponsored promo promotion cookie consent "
-    "notice alert popup modal overlay newsletter subscribe signup form search login comment comments reply discussion disqus respond share social tags pager pagination toolbar skip"
-).split()
-CORE = "article post content main body text entry story page wrapper container row col column inner hentry news blog".split()
-KNOWN = ASIDE + CORE
-#: Columns that say whether any of a set of tags or words is there.
-ASIDE_TAGS = "nav header footer aside form button fieldset address".split()
-KNOWN_AT = {w: i for i, w in enumerate(KNOWN)}
+TAGS = "#text html body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 blockquote pre table tr td figure figcaption dl dd dt address details fieldset".split()
+#: Tags of which one column says that any is there.
+ASIDE_TAGS = "nav header footer aside form fieldset address".split()
+#: Places that the words of class, id and role are hashed to.
+WORD_PLACES = 4096
 
 
 class Node:
@@ -71,10 +67,13 @@ class Node:
             parent.children.append(self)
 
 
-def _words(attrs: str) -> tuple[str, ...]:
-    if not attrs or "=" not in attrs:
+@functools.lru_cache(maxsize=1 << 16)
+def _words(attrs: str) -> tuple[int, ...]:
+    """Places of the words of class, id and role."""
+    if "=" not in attrs:
         return ()
-    return tuple(w.lower() for m in ATTRIBUTE.finditer(attrs) for w in WORD.findall(m[2] or m[3] or m[4] or ""))
+    words = {w.lower() for m in ATTRIBUTE.finditer(attrs) for w in WORD.findall(m[2] or m[3] or m[4] or "")}
+    return tuple(sorted({zlib.crc32(w.encode("utf-8", "replace")) % WORD_PLACES for w in words}))
 
 
 def parse(page: str) -> Node:
@@ -85,7 +84,7 @@ def parse(page: str) -> Node:
     def flush():
         nonlocal run, linked
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 leaf = Node("#text", at)
                 leaf.parts, leaf.link = [text], min(linked, len(text))
@@ -97,7 +96,7 @@ def parse(page: str) -> Node:
         if lt < 0:
             lt = n
         if lt > pos:
-            piece = page[pos:lt]
+            piece = html.unescape(page[pos:lt])  # each run by itself: no reference stands across markup
             run.append(piece)
             if in_link:
                 linked += len(piece.strip())
@@ -122,22 +121,11 @@ def parse(page: str) -> Node:
         name = name.lower()
         if name == "a":
             in_link = not m[1]
-        if name in INLINE:
-            continue
         if name == "br":
             run.append(" ")
             continue
-        flush()
-        if m[1]:
-            up = at
-            while up is not None and up.tag != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
-            in_link = False
-            continue
         if name in RAW:
-            if name in unclosed or (m[3].endswith("/") and name == "svg"):
+            if m[1] or name in unclosed or (m[3].endswith("/") and name == "svg"):
                 continue
             end = re.compile(rf"<{'/?' if name in FLAT else '/'}{re.escape(name)}(?=[\s/>])[^>]*>?" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, pos)
             if end and (name not in FLAT or end[0].startswith("</")):
@@ -147,6 +135,19 @@ def parse(page: str) -> Node:
             elif not end:
                 unclosed.add(name)
             continue
+        if name not in BLOCKS or (name == "noscript" and at.tag == "p"):
+            continue
+        if m[1]:
+            up = at
+            while up is not None and up.tag != name:
+                up = up.parent
+            if up is not None or name == "p":  # one that ends nothing does not part the text
+                flush()
+                in_link = False
+            if up is not None and up.parent is not None:
+                at = up.parent
+            continue
+        flush()
         if name in VOID:
             continue
         if name in ("html", "body") and any(x.tag == name for x in _line(at)):
@@ -176,12 +177,24 @@ def _line(node):
         node = node.parent
 
 
+@dataclass
+class Words:
+    """Of each place of attribute words the log-odds of main text, and its own column or -1."""
+
+    odds: np.ndarray
+    column: np.ndarray
+
+
 NUMERIC = 21
-N_FLAGS = len(TAGS) + len(KNOWN) + 1 + 3
+#: Log-odds of a node's attribute words that flags ask for: the least is below, the greatest above.
+BELOW, ABOVE = (-1.5, -2.5), (0.5, 1.5)
+#: Places of words that have a column of their own: the most frequent ones of the training pages.
+OWN_WORDS = 96
+N_FLAGS = len(TAGS) + 1 + len(BELOW) + len(ABOVE) + OWN_WORDS
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
-def features(roots: list[Node]) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray]:
+def features(roots: list[Node], words: Words) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray]:
     """(nodes of all trees in page order, place of each one's parent or -1, depth, feature rows)."""
     nodes, parents, depths = [], [], []
     for root in roots:
@@ -198,14 +211,18 @@ def features(roots: list[Node]) -> tuple[list[Node], np.ndarray, np.ndarray, np.
     n = len(nodes)
     text, link, stops, tags = [0] * n, [0] * n, [0] * n, [TAG_AT.get(x.tag, len(TAGS)) for x in nodes]
     own = np.zeros((n, N_FLAGS), np.float32)
+    said = np.zeros((n, 2))  # the least and the greatest of a node's words
     for i, x in enumerate(nodes):
         if x.parts:
             t = x.parts[0]
             text[i], link[i] = len(t), x.link
             stops[i] = t.count(". ") + t.count(", ") + (t[-1] in ".!?")
         elif x.attrs:
-            for w in x.attrs:
-                own[i, len(TAGS) + KNOWN_AT.get(w, len(KNOWN))] = 1
+            places = list(x.attrs)
+            odds = words.odds[places]
+            columns = words.column[places]
+            own[i, len(TAGS) + 1 + len(BELOW) + len(ABOVE) + columns[columns >= 0]] = 1
+            said[i] = min(odds.min(), 0), max(odds.max(), 0)
     parent, depth, tag = np.array(parents), np.array(depths), np.array(tags)
     text = np.array(text, np.float64)
     leaf = (tag == TAG_AT["#text"]).astype(np.float64)
@@ -225,10 +242,8 @@ def features(roots: list[Node]) -> tuple[list[Node], np.ndarray, np.ndarray, np.
     text, link, stops, leaves, n_tags, paras = sums.T
     known = np.flatnonzero(tag < len(TAGS))
     own[known, tag[known]] = 1
-    words = own[:, len(TAGS) :]
-    own[:, -3] = own[:, [TAG_AT[t] for t in ASIDE_TAGS]].max(axis=1)
-    own[:, -2] = words[:, : len(ASIDE)].max(axis=1)
-    own[:, -1] = words[:, len(ASIDE) : len(KNOWN)].max(axis=1)
+    own[:, len(TAGS)] = own[:, [TAG_AT[t] for t in ASIDE_TAGS]].max(axis=1)
+    own[:, len(TAGS) + 1 : N_FLAGS - OWN_WORDS] = np.stack([*(said[:, 0] < x for x in BELOW), *(said[:, 1] > x for x in ABOVE)], axis=1)
     above = np.zeros_like(own)
     for own_level in levels:
         above[own_level] = np.maximum(above[parent[own_level]], own[parent[own_level]])
@@ -265,12 +280,18 @@ def choose(parent: np.ndarray, depth: np.ndarray, odds: np.ndarray) -> np.ndarra
     return keep
 
 
-def main_text(page: str | None, model: trees.Boosted) -> str:
+@dataclass
+class Model:
+    words: Words
+    trees: trees.Boosted
+
+
+def main_text(page: str | None, model: Model) -> str:
     """Blocks of the main text of one page, joined by blank lines."""
     return main_texts([page], model)[0]
 
 
-def main_texts(pages: list[str | None], model: trees.Boosted) -> list[str]:
+def main_texts(pages: list[str | None], model: Model) -> list[str]:
     """Main text of each page; pages are worked on in groups of about 4 MB, so that numpy sees many nodes at once."""
     out = [""] * len(pages)
     lo = 0
@@ -279,8 +300,8 @@ def main_texts(pages: list[str | None], model: trees.Boosted) -> list[str]:
         while hi < len(pages) and (hi == lo or size + len(pages[hi] or "") <= 4 << 20):
             size += len(pages[hi] or "")
             hi += 1
-        nodes, parent, depth, x = features([parse(p or "") for p in pages[lo:hi]])
-        keep = choose(parent, depth, model.raw(x))
+        nodes, parent, depth, x = features([parse(p or "") for p in pages[lo:hi]], model.words)
+        keep = choose(parent, depth, model.trees.raw(x))
         page = np.cumsum(parent < 0) - 1
         found: list[list[str]] = [[] for _ in range(hi - lo)]
         for i in np.flatnonzero(keep).tolist():
@@ -388,7 +409,7 @@ def training_page(r: random.Random) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def fit(pages: int = 700, seed: int = 5) -> trees.Boosted:
+def fit(pages: int = 700, seed: int = 5) -> Model:
     """Trees fitted on generated pages; a node is positive if any text below it is main text."""
     r = random.Random(seed)
     roots, good = [], set()
@@ -402,11 +423,21 @@ def fit(pages: int = 700, seed: int = 5) -> trees.Boosted:
             if node.parts and GOOD in node.parts[0]:
                 node.parts = [node.parts[0].replace(GOOD, "")]
                 good.update(map(id, _line(node)))
-    nodes, _, _, x = features(roots)
-    return trees.fit(x, np.array([id(n) in good for n in nodes], float), NUMERIC)
-
-
-def text_column(page: Column, model: trees.Boosted | None = None) -> Column:
+    seen = np.ones((2, WORD_PLACES))
+    todo = list(roots)
+    while todo:
+        node = todo.pop()
+        todo.extend(node.children)
+        seen[int(id(node) in good), list(node.attrs)] += 1
+    column = np.full(WORD_PLACES, -1)
+    often = np.argsort(-seen.sum(axis=0), kind="stable")[:OWN_WORDS]
+    column[often] = np.arange(len(often))
+    words = Words(np.log(seen[1] / seen[0]), column)
+    nodes, _, _, x = features(roots, words)
+    return Model(words, trees.fit(x, np.array([id(n) in good for n in nodes], float), NUMERIC))
+
+
+def text_column(page: Column, model: Model | None = None) -> Column:
     """Main text of each page."""
     model = model or fit()
 
@@ -417,6 +448,6 @@ def text_column(page: Column, model: trees.Boosted | None = None) -> Column:
     return extract(page)
 
 
-def extract(pages: DataFrame, model: trees.Boosted | None = None, html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page; further columns are not kept."""
     return pages.select("page_id", "url", text_column(F.col(html_col).cast("string"), model).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

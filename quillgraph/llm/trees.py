@@ -37,7 +37,7 @@ def fit(x: np.ndarray, y: np.ndarray, numeric: int, trees: int = 60, depth: int
     """Logistic loss and second-order gains; each tree sees a seeded share of the rows.
 
     The first `numeric` columns are cut at quantiles, at most `bins` bins each;
-    the others are 0 or 1, and count only if at least 10 rows have a 1.
+    the others are 0 or 1, and count only if at least 10 rows (or all, of fewer) have a 1.
     """
     n = len(x)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(numeric)]
@@ -50,7 +50,7 @@ def fit(x: np.ndarray, y: np.ndarray, numeric: int, trees: int = 60, depth: int
     inner, leaves = (1 << depth) - 1, 1 << depth
     rng = np.random.default_rng(seed)
     for _ in range(trees):
-        rows = np.flatnonzero(rng.random(n) < share_of_rows) if n > 1000 else np.arange(n)
+        rows = np.flatnonzero(rng.random(n) < share_of_rows)
         flat, flags, own_x = flat_all[rows], flags_all[rows], x[rows]
         p = 1 / (1 + np.exp(-score[rows]))
         gh = np.stack([p - y[rows], p * (1 - p)])
