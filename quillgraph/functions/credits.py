@@ -29,3 +29,25 @@ def embedding_credits(tokens: Column) -> Column:
 
 def page_credits(pages: Column) -> Column:
     return in_credits(pages * PAGE_PRICE)
+
+
+# Fixed value: USD an hour and GB of memory.
+GRAPH_HOUR_GB = 0.035
+
+
+def rerank_credits(tokens: Column) -> Column:
+    return in_credits(tokens * RERANK_PER_MILLION / 1e6)
+
+
+def graph_credits(memory_gb: Column, seconds: Column) -> Column:
+    return in_credits(memory_gb * (seconds / 3600) * GRAPH_HOUR_GB)
+
+
+def translation_credits(characters: Column) -> Column:
+    return in_credits(characters * TRANSLATION_PER_MILLION / 1e6)
+
+
+def query_credits(model: Column, tokens_in: Column, tokens_out: Column, embedded: Column, reranked: Column) -> Column:
+    """The sum over the calls of a query; a call of no tokens costs nothing."""
+    part = lambda used, cost: F.when(used > 0, cost).otherwise(F.lit(0).cast("long"))
+    return part(tokens_in + tokens_out, llm_credits(model, tokens_in, tokens_out)) + part(embedded, embedding_credits(embedded)) + part(reranked, rerank_credits(reranked))

@@ -128,3 +128,61 @@ def key_values(c: Column) -> Column:
     """(key, value) of each line that reads `Key: value`."""
     line = r"(?m)^([A-Z][A-Za-z ]{1,30}): *(\S[^\n]*)$"
     return F.arrays_zip(F.regexp_extract_all(c, F.lit(line), F.lit(1)).alias("key"), F.regexp_extract_all(c, F.lit(line), F.lit(2)).alias("value"))
+
+
+# Prefixes of locales that are written from the right, and what ends a sentence.
+RTL_PREFIXES = ("ar", "he", "fa", "ur", "yi")
+CJK_PREFIXES = ("zh", "ja", "ko")
+CJK_DELIMITERS = ("。", "！", "？", "．", "!", "?", ".")
+DELIMITERS = (".", "!", "?")
+
+
+def has_prefix(locale: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a locale such as `ar-EG` begins with one of the language codes; null is false."""
+    return F.coalesce(F.lower(F.substring_index(F.replace(locale, F.lit("_"), F.lit("-")), "-", 1)).isin(*prefixes), F.lit(False))
+
+
+def is_rtl(locale: Column) -> Column:
+    return has_prefix(locale, RTL_PREFIXES)
+
+
+def sentence_delimiters(locale: Column) -> Column:
+    return F.when(has_prefix(locale, CJK_PREFIXES), F.array(*map(F.lit, CJK_DELIMITERS))).otherwise(F.array(*map(F.lit, DELIMITERS)))
+
+
+def strip_tags(c: Column, tags: tuple[str, ...] = ("skeleton", "context", "source")) -> Column:
+    """Drops opening and closing marks such as <skeleton id=3>; what they hold stays."""
+    return F.trim(F.regexp_replace(c, rf"(?i)</?(?:{'|'.join(tags)})\b[^>]*>", ""))
+
+
+def keyword_pattern(keyword: Column) -> Column:
+    """A pattern that finds a keyword whatever white space parts its words."""
+    escaped = F.regexp_replace(F.trim(F.lower(keyword)), r"([.+*?^${}()|\[\]\\])", r"\\$1")
+    return F.concat(F.lit("(?i)"), F.regexp_replace(escaped, r"\s+", r"\\s+"))
+
+
+def community_summary(c: Column) -> Column:
+    """(title, summary) of a text with `TITLE:` and `SUMMARY:` lines; without a title the first line, cut to 80 signs, is one; without a summary the whole text."""
+    title, summary = F.trim(F.regexp_extract(c, r"(?im)^\s*TITLE:\s*(.+)$", 1)), F.trim(F.regexp_extract(c, r"(?is)SUMMARY:\s*(.+)", 1))
+    first = F.substring(F.trim(F.substring_index(F.trim(c), "\n", 1)), 1, 80)
+    return F.struct(F.when(title != "", title).otherwise(first).alias("title"), F.when(summary != "", summary).otherwise(F.trim(c)).alias("summary"))
+
+
+def seed_phrase(c: Column) -> Column:
+    """Lower case, everything but letters and digits a single blank; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))
+
+
+def header_text(field: Column) -> Column:
+    """`due_date` as `Due Date`."""
+    return F.initcap(F.replace(field, F.lit("_"), F.lit(" ")))
+
+
+def edge_id(src: Column, dst: Column, own: Column) -> Column:
+    """An edge's own id, else `src->dst`."""
+    return F.coalesce(F.nullif(own, F.lit("")), F.concat(src, F.lit("->"), dst))
+
+
+def document_key(*candidates: Column) -> Column:
+    """The first candidate that is neither null nor blank."""
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in candidates])
