@@ -10,8 +10,8 @@ The histogram has one bin for each length that occurs, so its size is bounded
 by the longest text and not by the number of rows, and the bounds are the
 best there are.
 
-Lengths are words by default; `length` may be any other count, such as
-`token_counts.n_tokens`. A null text has length 0 and goes to the first
+Lengths are words by default; the query and the pipeline count tokens with
+`token_counts.n_tokens`, and `length` may be any other count. A null text has length 0 and goes to the first
 bucket. Rows of equal text have equal lengths and may share a bucket and a
 batch. An empty table gives an empty result; further columns are not kept.
 """

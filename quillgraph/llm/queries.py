@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from . import decontaminate, html_extract, packing, quality, sharding, simhash, telephony, token_counts, toxicity, url_reputation
 from .oracles import ORACLES
@@ -14,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokens(name: str = "byte_bpe_50k.json") -> Callable[[Column], Column]:
+    """Counts tokens of a text with one of the public tokenizers."""
+    import public_tokenizers
+
+    return partial(token_counts.n_tokens, path=public_tokenizers.path(name))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.classify(documents, quality.fit(documents, labels))
@@ -50,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), length=tokens())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
