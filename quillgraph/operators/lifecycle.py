@@ -69,3 +69,84 @@ def health_score(stats: DataFrame) -> DataFrame:
         - F.least(F.lit(10.0), 100.0 * F.col("deprecated") / F.greatest("sentences", F.lit(1)))
     )
     return stats.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 4))
+
+
+def without_documents(documents: DataFrame, sentences: DataFrame, mentions: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables (documents, sentences, mentions) after the documents in `gone` (doc_id) are deleted with all below them, and `entities` (eid): those that only stood there."""
+    ids = gone.select("doc_id").distinct()
+    left = sentences.join(ids, "doc_id", "left_anti")
+    kept = mentions.join(left.select("sid"), "sid", "left_semi")
+    lost = mentions.select("eid").distinct().join(kept.select("eid").distinct(), "eid", "left_anti")
+    return {"documents": documents.join(ids, "doc_id", "left_anti"), "sentences": left, "mentions": kept, "entities": lost}
+
+
+def renamed(rows: DataFrame, names: DataFrame, keep_alias: bool = True) -> DataFrame:
+    """Documents (doc_id, aliases) under their new ids (old, new); the old id joins the aliases."""
+    out = rows.join(names, rows["doc_id"] == names["old"], "left")
+    alias = F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.col("old").cast("string")))
+    aliases = F.when(F.col("old").isNotNull() & F.lit(keep_alias), alias).otherwise(F.col("aliases"))
+    return out.withColumns({"doc_id": F.coalesce("new", "doc_id"), "aliases": aliases}).drop("old", "new")
+
+
+def without_dead_vectors(vectors: DataFrame, state: DataFrame) -> DataFrame:
+    """Vectors (sid, embedding) with null for those of deprecated sentences."""
+    dead = state.where("deprecated").select("sid", F.lit(True).alias("dead"))
+    return vectors.join(dead, "sid", "left").withColumn("embedding", F.when(F.col("dead").isNull(), F.col("embedding"))).drop("dead")
+
+
+def collected(mentions: DataFrame, edges: DataFrame, vectors: DataFrame, state: DataFrame) -> DataFrame:
+    """step, touched: garbage collection in order - orphan entities, stale edges, dead vectors - and how many rows each step takes away."""
+    steps = {"1 entities": orphans(mentions, state), "2 edges": stale_edges(edges, state), "3 vectors": vectors.where("embedding is not null").join(state.where("deprecated").select("sid"), "sid", "left_semi")}
+    parts = [df.agg(F.count(F.lit(1)).alias("touched")).select(F.lit(name).alias("step"), "touched") for name, df in steps.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def without_group(tables: dict[str, DataFrame], group: str, tenant: str = "group_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table without a group's rows, and label, deleted: how many rows that are."""
+    parts = [df.agg(F.count_if(F.col(tenant) == group).alias("deleted")).select(F.lit(name).alias("label"), "deleted") for name, df in tables.items()]
+    count = parts[0]
+    for p in parts[1:]:
+        count = count.unionAll(p)
+    return {name: df.where(~F.col(tenant).eqNullSafe(F.lit(group))) for name, df in tables.items()}, count
+
+
+def without_folder(tree: DataFrame, root, cascade: bool = True) -> DataFrame:
+    """Folders (id, parent) without `root`: with all below it, or, without `cascade`, its children move up to its parent."""
+    from .graph import descendants
+
+    if cascade:
+        return tree.join(descendants(tree, root).select("id"), "id", "left_anti")
+    up = tree.where(F.col("id") == root).select(F.col("id").alias("__at"), F.col("parent").alias("__up"))
+    moved = tree.where(F.col("id") != root).join(F.broadcast(up), F.col("parent") == F.col("__at"), "left")  # one row
+    return moved.select("id", F.when(F.col("__at").isNotNull(), F.col("__up")).otherwise(F.col("parent")).alias("parent"))
+
+
+def page(rows: DataFrame, order: str, key: str, size: int, after: tuple | None = None) -> DataFrame:
+    """The next `size` rows by (order, key) after the last row of the page before, given as its (order, key)."""
+    if after is not None:
+        value, last = F.lit(after[0]), F.lit(after[1])
+        rows = rows.where((F.col(order) > value) | ((F.col(order) == value) & (F.col(key) > last)))
+    return rows.orderBy(order, key).limit(size)
+
+
+def stale_groups(changes: DataFrame, computed: DataFrame) -> DataFrame:
+    """group_id of groups (group_id, ts) that changed after they were last computed (group_id, ts), or never were."""
+    c = changes.groupBy("group_id").agg(F.max("ts").alias("changed"))
+    return c.join(computed.groupBy("group_id").agg(F.max("ts").alias("done")), "group_id", "left").where("done is null or changed > done").select("group_id")
+
+
+def sole_owned(owners: DataFrame, document, only_owner: bool = True) -> DataFrame:
+    """Content rows (content_id, owner) that deleting a document's content keeps: those of others, and with `only_owner` those that have further owners."""
+    own = owners.where(F.col("owner") == document).select("content_id").distinct()
+    if not only_owner:
+        return owners.join(own, "content_id", "left_anti")
+    alone = owners.join(own, "content_id", "left_semi").groupBy("content_id").agg(F.countDistinct("owner").alias("n")).where("n = 1").select("content_id")
+    return owners.join(alone, "content_id", "left_anti")
+
+
+def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, n of keys that stand more than once or are null in part: what a uniqueness constraint would refuse."""
+    missing = F.lit(False)
+    for c in key:
+        missing = missing | F.col(c).isNull()
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | missing)

@@ -1,8 +1,8 @@
 """Exact vector search and similarity edges in double precision, JVM-side.
 
-A query set is small and stated; it is broadcast in blocks against all rows.
-Corpus-to-corpus joins compare blocks of vectors with matrix products in
-Arrow batches, each block against a bounded broadcast block.
+A small query set is broadcast against all rows. Large ones, and comparisons
+of a corpus with itself, deal both sides to blocks, and tasks compare blocks
+with matrix products.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(length > 0, dot / length), F.lit(0.0))
 
 
-#: Most queries that one broadcast holds.
+#: Most queries that are broadcast.
 QUERY_BLOCK = 4096
 
 
@@ -37,66 +37,95 @@ def _unit_rows(column) -> np.ndarray:
     return x / np.where(length > 0, length, 1)[:, None]
 
 
+#: Vectors of one block of an all-pairs comparison, and of one block that large query sets are compared with.
+BLOCK_ROWS = 4096
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank of the k nearest of `vectors` (vec_id, embedding) for each query (query_id, q); ties by vec_id.
 
-    Queries go in blocks of QUERY_BLOCK (dealt by a hash of their id), each
-    broadcast as a matrix. A batch of vectors sends on only what can still be
-    among the k best of a query, so the shuffle follows queries times k.
+    Up to QUERY_BLOCK queries are broadcast as a matrix, and a batch of vectors
+    sends on only what can still be among the k best of a query. More queries
+    are dealt to blocks like the vectors, and tasks compare a block of each.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "q").toArrow()
-        shared = vectors.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy(), _unit_rows(part.column("q"))))
-
-        def best(batches, shared=shared):
-            qid, q = shared.value
-            for batch in batches:
-                ids, x = batch.column("vec_id").to_numpy(zero_copy_only=False), _unit_rows(batch.column("embedding"))
-                if not len(ids) or not len(qid) or x.shape[1] != q.shape[1]:
-                    continue
-                for lo in range(0, len(qid), 512):
-                    score = np.round(q[lo : lo + 512] @ x.T, digits)
-                    floor = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
-                    i, j = np.nonzero((score >= floor) & (score >= (-np.inf if least is None else least)))
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["query_id", "vec_id", "score"])
-
-        found = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionAll(found)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
-
-def similar_pairs(vectors: DataFrame, least: float, block_rows: int = 20_000) -> DataFrame:
+    many = queries.select("query_id").limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK
+    found = _by_blocks(queries, vectors, k, least, digits) if many else _by_broadcast(queries, vectors, k, least, digits)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
+def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: float | None, digits: int):
+    """(query_id, vec_id, score) of what can be among the k best of each query, 512 queries at a time."""
+    if not len(ids) or not len(qid) or x.shape[1] != q.shape[1]:
+        return
+    for lo in range(0, len(qid), 512):
+        score = np.round(q[lo : lo + 512] @ x.T, digits)
+        floor = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+        i, j = np.nonzero((score >= floor) & (score >= (-np.inf if least is None else least)))
+        yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i]), pa.array(ids[j]), pa.array(score[i, j])], names=["query_id", "vec_id", "score"])
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _by_broadcast(queries: DataFrame, vectors: DataFrame, k: int, least: float | None, digits: int) -> DataFrame:
+    part = queries.select("query_id", "q").limit(QUERY_BLOCK).toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((part.column("query_id").to_numpy(), _unit_rows(part.column("q"))))
+
+    def best(batches):
+        for batch in batches:
+            yield from _best(*shared.value, batch.column("vec_id").to_numpy(zero_copy_only=False), _unit_rows(batch.column("embedding")), k, least, digits)
+
+    return vectors.select("vec_id", "embedding").mapInArrow(best, _FOUND)
+
+
+def _dealt(rows: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    """Every row in its own block, once for each block of the other side."""
+    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
+def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, least: float | None, digits: int) -> DataFrame:
+    qb, vb = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
+    left = _dealt(queries.select(F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks")), "id", "i", qb, "j", vb)
+    right = _dealt(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(False).alias("asks")), "id", "j", vb, "i", qb)
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids, x = table.column("id").to_numpy(), _unit_rows(table.column("v"))
+        out = list(_best(ids[asks], x[asks], ids[~asks], x[~asks], k, least, digits))
+        return pa.Table.from_batches(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(compare, _FOUND)
+
+
+def similar_pairs(vectors: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a < b, score of all pairs with cosine of at least `least`, from (vec_id, embedding).
 
-    One side is gathered in blocks of `block_rows` by a hash of the id and
-    broadcast one after another; memory is bounded by the block, the work is
-    the product, as exact all-pairs similarity is.
+    Vectors are dealt to blocks of about `block_rows` by a hash of their id, and
+    a task compares two blocks by matrix products: nothing goes through the
+    driver, memory is bounded by two blocks, and the work is the square, as
+    exact all-pairs similarity is.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    spark, out = vectors.sparkSession, None
-    for b in range(blocks):
-        part = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        ids = part.column("vec_id").to_numpy()
-        shared = spark.sparkContext.broadcast((ids, _unit_rows(part.column("embedding"))))
-
-        def near(batches, shared=shared):
-            own_ids, own = shared.value
-            for batch in batches:
-                ids = batch.column("vec_id").to_numpy()
-                x = _unit_rows(batch.column("embedding"))
-                for lo in range(0, len(ids), 1024):
-                    score = x[lo : lo + 1024] @ own.T if len(own_ids) and own.shape[1] == x.shape[1] else np.full((len(x[lo : lo + 1024]), len(own_ids)), -np.inf)
-                    i, j = np.nonzero(score >= least - 1e-9)
-                    keep = ids[lo + i] < own_ids[j]
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i]), pa.array(own_ids[j]), pa.array(score[i, j])], names=["a", "b", "score"])
-
-        found = vectors.select("vec_id", "embedding").mapInArrow(near, "a long, b long, score double")
-        out = found if out is None else out.unionAll(found)
-    return out.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+    blocks = max(1, -(-vectors.count() // block_rows))
+    rows = _dealt(vectors.select("vec_id", "embedding"), "vec_id", "own", blocks, "other", blocks)
+
+    def near(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        ids, x = table.column("vec_id").to_numpy(), _unit_rows(table.column("embedding"))
+        a, b = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("i", "j"))
+        first, second, scores = [], [], []
+        for lo in range(0, len(a), 1024):
+            score = x[a[lo : lo + 1024]] @ x[b].T
+            i, j = np.nonzero(score >= least - 1e-9)
+            u, v = ids[a[lo + i]], ids[b[j]]
+            keep = u < v if table.column("i")[0].as_py() == table.column("j")[0].as_py() else u != v
+            first.append(np.minimum(u, v)[keep])
+            second.append(np.maximum(u, v)[keep])
+            scores.append(score[i, j][keep])
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+        return pa.table({"a": join(first, pa.int64()), "b": join(second, pa.int64()), "score": join(scores, pa.float64())})
+
+    pairs = rows.select("vec_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return pairs.groupBy("i", "j").applyInArrow(near, "a long, b long, score double").withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
 
 
 def capped_edges(pairs: DataFrame, most: int) -> DataFrame:

@@ -19,12 +19,19 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.lit(0).alias("page"), F.lit(0).cast("long").alias("offset"), clean(F.col("value")).alias("content"))
 
 
-def csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """One page a row after the header; values joined by commas; offsets run over the file in row order."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("row", "line"))
-    rows = lines.where("row > 0").select("path", (F.col("row") - 1).alias("page"), F.array_join(F.transform(F.split("line", ","), lambda v: F.trim(v)), ",").alias("content"))
-    run = F.coalesce(F.sum(F.length("content")).over(Window.partitionBy("path").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("path", "page", run.alias("offset"), "content")
+def csv_files(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
+    """One page a row after the header, values joined by commas; quoted values may hold commas and line ends.
+
+    Pages count from 0 and offsets are those of the content before, in the order of rows of a file. Rows of fewer
+    than `columns` values are padded by the reader and cut again here.
+    """
+    names = [f"c{i}" for i in range(columns)]
+    rows = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=True, enforceSchema=True, multiLine=True, escape='"', recursiveFileLookup=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    line = F.concat_ws(",", *names)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), line.alias("content")).where("content <> ''")
+    w = Window.partitionBy("path").orderBy("at")
+    run = F.coalesce(F.sum(F.length("content")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("path", (F.row_number().over(w) - 1).alias("page"), run.alias("offset"), "content")
 
 
 def json_pages(df: DataFrame, column: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,24 @@ def append_new(df: DataFrame, path: str, key: list[str], tenant: str) -> int:
         write_table(fresh, path, tenant, "append")
     fresh.unpersist()
     return n
+
+
+def ensure_table(df: DataFrame, name: str, partition: str = "group_id") -> bool:
+    """Creates a partitioned Parquet table with the columns of `df` if it is not there; returns whether it did. An index is not needed: the partition prunes by tenant."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(name):
+        return False
+    stamp(df.limit(0), "").write.partitionBy(partition).format("parquet").saveAsTable(name)
+    return True
+
+
+def write_index(mentions: DataFrame, path: str, tenant: str) -> None:
+    """An inverted index as JSON: of each entity (eid) its sentences (sid), in rows of at most 1,000 ids, so that a frequent entity makes no unbounded value."""
+    part = F.floor(F.row_number().over(Window.partitionBy("eid").orderBy("sid")) / 1001)
+    rows = mentions.distinct().withColumn("part", part).groupBy("eid", "part").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
+    write_json(rows, path, tenant)
+
+
+def append_usage(events: DataFrame, path: str, tenant: str) -> int:
+    """Appends usage facts, one row an event_id, whatever their type; repeats are not written twice."""
+    return append_new(events, path, ["event_id"], tenant)
