@@ -103,25 +103,41 @@ def decayed_spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, pe
     return zero.unionAll(one).unionAll(two).groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-6, dangling: bool = False, passages: DataFrame | None = None, self_loops: float = 0.0, devalue_hubs: bool = False) -> DataFrame:
     """node, score: personalised power iteration over weighted undirected edges (src, dst, w).
 
-    Mass leaves a node in proportion to its edges' weights; nodes without edges
-    keep only what the seeds (node, weight; summed to 1) give them. Rounds end
-    when the scores change by less than `tolerance` in sum, after `rounds` at
-    most. Every round is one join and one aggregation on the node, and is
-    written to the checkpoint folder.
+    Mass leaves a node in proportion to its edges' weights. Seeds are (node,
+    weight), summed to 1; without any weight there is no row. What nodes without
+    edges hold is lost, or with `dangling` goes back to the seeds, so that
+    scores sum to 1. Nodes in `passages` (node) keep mass as by an edge of
+    weight `self_loops` to themselves; with `devalue_hubs` what other nodes pass
+    on is divided by the number of their edges. Rounds end when the scores
+    change by less than `tolerance` in sum, after `rounds` at most. Every round
+    is one join and one aggregation on the node, and is written to the
+    checkpoint folder.
     """
     both = edges.select("src", "dst", "w").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     both = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    strength = both.groupBy("src").agg(F.sum("w").alias("s"))
-    arcs = durable(both.join(strength, "src").select("src", "dst", (F.col("w") / F.col("s")).alias("p")))
-    total = seeds.agg(F.sum("weight").alias("t"))
-    start = seeds.groupBy("node").agg(F.sum("weight").alias("weight")).crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("t")).alias("score"))
+    out = both.groupBy("src").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("degree"))
+    kept = (passages if passages is not None else seeds.limit(0)).select(F.col("node").alias("src"), F.lit(float(self_loops)).alias("loop")).distinct()
+    out = out.join(kept, "src", "left").withColumn("s", F.col("s") + F.coalesce("loop", F.lit(0.0)))
+    share = F.col("w") / F.col("s")
+    if devalue_hubs:
+        share = F.when(F.col("loop").isNull(), share / F.greatest("degree", F.lit(1))).otherwise(share)
+    arcs = both.join(out, "src").select("src", "dst", share.alias("p"))
+    if self_loops > 0:
+        arcs = arcs.unionAll(out.where("loop is not null").select("src", F.col("src").alias("dst"), (F.col("loop") / F.col("s")).alias("p")))
+    arcs = durable(arcs)
+    total = seeds.agg(F.sum("weight").alias("t")).where("t > 0")
+    start = seeds.groupBy("node").agg(F.sum("weight").alias("weight")).crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("t")).alias("score"))  # one row
     rank = start = durable(start)
+    ends = durable(start.join(arcs.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node")) if dangling else None  # only a seed can have mass and no edge
     for _ in range(rounds):
+        back = 1 - damping
+        if ends is not None:
+            back += damping * (rank.join(ends, "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0)
         moved = rank.join(arcs, rank["node"] == arcs["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("score"))
-        new = durable(moved.unionAll(start.select("node", (F.col("score") * (1 - damping)).alias("score"))).groupBy("node").agg(F.sum("score").alias("score")))
+        new = durable(moved.unionAll(start.select("node", (F.col("score") * back).alias("score"))).groupBy("node").agg(F.sum("score").alias("score")))
         both = new.unionAll(rank.select("node", (-F.col("score")).alias("score"))).groupBy("node").agg(F.sum("score").alias("d"))
         change = both.agg(F.sum(F.abs("d"))).first()[0]
         rank = new
@@ -130,6 +146,56 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: i
     return rank
 
 
+def weighted_graph(related: DataFrame, mentions: DataFrame, similar: DataFrame, least: float = 0.7) -> DataFrame:
+    """src, dst, w: one undirected graph of entities and sentences, as strings `e<id>` and `s<id>`.
+
+    Of related entities (src, dst, w) the first weight by (src, dst) of each pair that has two directions, a mention
+    with 1, similar sentences (a, b, score) of at least `least`.
+    """
+    e, s = (lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("s"), F.col(c).cast("string")))
+    pair = related.where("src <> dst").groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.min(F.struct("src", "dst", "w"))["w"].alias("w"))
+    return pair.select(e("x").alias("src"), e("y").alias("dst"), "w").unionAll(mentions.select(s("sid"), e("eid"), F.lit(1.0))).unionAll(similar.where(F.col("score") >= least).select(s("a"), s("b"), "score"))
+
+
+def near_sections(similar: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """a, b, w: similarity of sections (a, b, score) less what their distance in order (id, ordinal) costs: score / (1 + 0.2 gap)."""
+    x, y = (ordinals.select(F.col("id").alias(c), F.col("ordinal").alias(f"o{c}")) for c in ("a", "b"))
+    return similar.join(x, "a").join(y, "b").select("a", "b", F.round(F.col("score") / (1 + 0.2 * F.abs(F.col("oa") - F.col("ob"))), 6).alias("w"))
+
+
+def relations_or_co_mentions(related: DataFrame, mentions: DataFrame) -> DataFrame:
+    """src, dst, w: the related entities, or, if there are none, entities in common sentences by their number."""
+    if not related.isEmpty():
+        return related.select("src", "dst", "w")
+    return co_mentions(mentions, 1).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("shared").cast("double").alias("w"))
+
+
+def five_paths(seeds: DataFrame, related: DataFrame, mentions: DataFrame, sentences: DataFrame, similar: DataFrame, hubs_: DataFrame, damping: float = 0.85) -> DataFrame:
+    """eid, score: what seeds (eid, weight) reach on five paths, each a weighted join, summed.
+
+    An entity itself (1), related ones (d), those of the same section (d^2), of a section that is similar (section_id,
+    other, score) to it (d^2 times the score), and hubs (section_id, eid) of its sections (d^3). A path counts once
+    for each pair of entities.
+    """
+    zero = seeds.groupBy("eid").agg(F.sum("weight").alias("weight"))
+    at = mentions.join(sentences.select("sid", "section_id"), "sid").select("eid", "section_id").distinct()
+    own = zero.join(at, "eid").select("eid", "weight", "section_id")
+    both = related.select("src", "dst").unionAll(related.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    there = at.select(F.col("eid").alias("to"), "section_id")
+    reach = lambda rows, gain: rows.where("eid <> to").groupBy("eid", "to").agg(F.max("weight").alias("w"), F.max(gain).alias("g")).select(F.col("to").alias("eid"), (F.col("w") * F.col("g")).alias("score"))
+    paths = [
+        zero.select("eid", F.col("weight").alias("score")),
+        reach(zero.join(both, zero["eid"] == both["src"]).withColumnRenamed("dst", "to"), F.lit(damping)),
+        reach(own.join(there, "section_id"), F.lit(damping**2)),
+        reach(own.join(similar, "section_id").drop("section_id").withColumnRenamed("other", "section_id").join(there, "section_id"), F.col("score") * damping**2),
+        reach(own.join(hubs_.select("section_id", F.col("eid").alias("to")), "section_id"), F.lit(damping**3)),
+    ]
+    out = paths[0]
+    for p in paths[1:]:
+        out = out.unionAll(p)
+    return out.groupBy("eid").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
 def target_documents(mentions: DataFrame, sentences: DataFrame, seeds: DataFrame) -> DataFrame:
     """doc_id, vote: each seed entity (eid) votes 1 / its number of documents for each of them."""
     docs = seeds.join(documents_of(mentions, sentences), "eid")
