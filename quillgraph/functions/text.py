@@ -6,8 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that mark a summary section, and month names.
-SUMMARY_WORDS = ("summary", "executive summary", "overview", "abstract", "introduction", "purpose", "scope", "conclusion", "key findings", "highlights", "background")
+SUMMARY_WORDS = (
+    "purpose",
+    "summary",
+    "executive summary",
+    "introduction",
+    "overview",
+    "scope",
+    "background",
+    "abstract",
+    "objectives",
+    "recitals",
+    "whereas",
+)
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTHS_DE = ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember")
 #: Scripts without blanks between words, as ranges for a character class.
 CJK = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af"
 
@@ -55,8 +68,8 @@ def non_latin_share(c: Column) -> Column:
 
 
 def strip_markers(c: Column) -> Column:
-    """Drops citation marks such as [1] and [12a]."""
-    return F.trim(F.regexp_replace(c, r"\s*\[\d+[a-z]?\]", ""))
+    """Drops the marks of sentences, such as [12a]; those of blocks, such as [1], stay."""
+    return F.trim(F.regexp_replace(c, r"\s*\[\d+[a-z]\]", ""))
 
 
 def fulltext_terms(c: Column) -> Column:
@@ -87,19 +100,21 @@ def is_summary_title(title: Column) -> Column:
 
 
 def pascal_case(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, "[_\\-\\s]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), "")
+    return F.array_join(F.transform(F.split(c, "[_\\-\\s]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
 
 
 def document_date(c: Column) -> Column:
     """The latest valid date (1900 to 2100) that a text names as M/D/Y, Y-M-D, Month D, Y, D. Month Y or D.M.Y; null if none."""
-    month = "(?i)(" + "|".join(MONTHS) + ")"
+    names = sorted(set(MONTHS + MONTHS_DE), key=lambda m: (-len(m), m))  # a name before its own beginning
+    month = "(?i)(" + "|".join(names) + ")"
+    numbers = F.create_map(*[F.lit(x) for name in names for x in (name, str(MONTHS.index(name) + 1 if name in MONTHS else MONTHS_DE.index(name) + 1))])
 
     def found(pattern: str, y: int, m: int, d: int, named: bool = False) -> Column:
         def one(piece: Column) -> Column:
             year, day = F.regexp_extract(piece, pattern, y), F.regexp_extract(piece, pattern, d)
             mon = F.lower(F.regexp_extract(piece, pattern, m))
             if named:
-                mon = F.array_position(F.array(*map(F.lit, MONTHS)), mon).cast("string")
+                mon = numbers[mon]
             return F.try_to_date(F.concat_ws("-", year, F.lpad(mon, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
         return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)

@@ -14,7 +14,7 @@ from ..operators import vector as V
 from ..sources import readers
 from . import fixture as X
 from .fixture import BOTH, MENTIONS, RELATIONS, SENTENCES
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 from .search_queries import _PAIRS, _queries
 
 
@@ -131,12 +131,6 @@ def seed_cascade(t: Tables):
     return exact.unionAll(part)
 
 
-@query("WITH s AS (SELECT DISTINCT p_name AS seed, string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey <= 20), n AS (SELECT DISTINCT p_name AS name, string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey > 20 AND p_partkey <= 200), x AS (SELECT DISTINCT seed, unnest(w) AS w FROM s), y AS (SELECT DISTINCT name, unnest(w) AS w FROM n) SELECT seed, name, COUNT(*) AS shared FROM x JOIN y USING (w) WHERE length(w) >= 3 GROUP BY seed, name")
-def token_overlap_seeds(t: Tables):
-    s = t.part.where("p_partkey <= 20").select(F.col("p_name").alias("seed")).distinct()
-    return RS.token_overlap(s, t.part.where("p_partkey > 20 and p_partkey <= 200").select(F.col("p_name").alias("name")).distinct())
-
-
 @query(f"WITH {RELATIONS} SELECT src, dst, w FROM rel WHERE src < 40 AND dst < 40")
 def evidence_subgraph(t: Tables):
     nodes = t.spark.range(40)
@@ -184,14 +178,8 @@ def coverage_gaps(t: Tables):
     return R.top_per_group(rest, ["doc_id"], [F.desc("score"), F.col("sid")], 1).select("sid", "doc_id")
 
 
-@query(f"""WITH {SENTENCES}, {MENTIONS}, c AS (SELECT eid, COUNT(*) AS n FROM mention WHERE eid <= 50 GROUP BY eid), d AS (SELECT sid, score FROM sent WHERE sid <= 200), e AS (SELECT MIN(score) AS lo, MAX(score) AS hi FROM d)
-SELECT 'e' || CAST(eid AS VARCHAR) AS node, ROUND(1.0 / n, 6) AS weight FROM c UNION ALL SELECT 's' || CAST(sid AS VARCHAR), ROUND(0.05 * (score - lo) / (hi - lo), 6) FROM d, e""")
-def seed_weights(t: Tables):
-    """Entity seeds weigh one over their mentions, passage seeds a twentieth of their scaled score."""
-    return _seed_weights(X.mentions(t).where("eid <= 50"), X.sentences(t).where("sid <= 200").select("sid", "score"))
-
-
 def _seed_weights(mentions: DataFrame, d: DataFrame) -> DataFrame:
+    """Entity seeds weigh one over their mentions, passage seeds a twentieth of their scaled score."""
     c = mentions.groupBy("eid").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("e"), F.col("eid").cast("string")).alias("node"), F.round(1.0 / F.col("n"), 6).alias("weight"))
     e = d.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     return c.unionAll(d.crossJoin(F.broadcast(e)).select(F.concat(F.lit("s"), F.col("sid").cast("string")), F.round(0.05 * (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)))
@@ -208,13 +196,8 @@ def usage_range(t: Tables):
     return e.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE source END AS folder, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id < 100")
-def moved_documents(t: Tables):
-    """A move replaces the folder only where the caller's version is the current one; stale moves (odd ids) change nothing."""
-    return _moved(t.documents.where("doc_id < 100"))
-
-
 def _moved(documents: DataFrame) -> DataFrame:
+    """A move replaces the folder only where the caller's version is the current one; stale moves (odd ids) change nothing."""
     now = documents.select("doc_id", F.col("source").alias("folder"), F.lit(1).alias("version"))
     moves = now.select(F.col("doc_id").alias("m"), F.lit("moved").alias("to"), (1 - F.col("doc_id") % 2).alias("expected"))
     hit = (F.col("expected") == F.col("version"))
@@ -231,7 +214,7 @@ def evidence_confidence(t: Tables):
     return per.join(s, "section_id").select("section_id", F.round(c, 6).alias("confidence"))
 
 
-# The three queries above that their SQL holds to a range of ids, over whole tables.
+# Three queries with two names each: both run over whole tables.
 
 
 @query("WITH s AS (SELECT DISTINCT p_name AS seed, string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey <= 20), n AS (SELECT DISTINCT p_name AS name, string_split(lower(p_name), ' ') AS w FROM part), x AS (SELECT DISTINCT seed, unnest(w) AS w FROM s), y AS (SELECT DISTINCT name, unnest(w) AS w FROM n) SELECT seed, name, COUNT(*) AS shared FROM x JOIN y USING (w) WHERE length(w) >= 3 GROUP BY seed, name")
@@ -250,3 +233,7 @@ def all_seed_weights(t: Tables):
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE source END AS folder, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents")
 def all_moved_documents(t: Tables):
     return _moved(t.documents)
+
+
+for _old, _new in (("token_overlap_seeds", token_overlap_all_parts), ("seed_weights", all_seed_weights), ("moved_documents", all_moved_documents)):
+    query(SQL[_new.__name__], name=_old)(_new)

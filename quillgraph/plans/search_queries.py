@@ -9,7 +9,7 @@ from ..operators import ranking as R
 from ..operators import vector as V
 from . import fixture as X
 from .fixture import SENTENCES
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 _SCORED = f"scored AS (SELECT b.vec_id AS query_id, a.vec_id, a.label, ROUND({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0)"
@@ -130,19 +130,15 @@ def near_best_documents(t: Tables):
     return R.near_best(X.sentences(t)).select("sid", "doc_id")
 
 
-@query(f"""WITH {SENTENCES}, s AS (SELECT doc_id AS id, ROUND(SUM(score * score) / 1e9, 4) AS score FROM sent WHERE doc_id <= 60 GROUP BY doc_id), r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS rank, LAG(score) OVER (ORDER BY score DESC, id) AS prev FROM s),
-c AS (SELECT *, SUM(CASE WHEN rank > 6 AND score < 0.5 * prev THEN 1 ELSE 0 END) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS cut FROM r) SELECT id, score, rank FROM c WHERE cut = 0""")
-def score_gap_prune(t: Tables):
-    s = X.sentences(t).where("doc_id <= 60").groupBy(F.col("doc_id").alias("id")).agg(F.round(F.sum(F.col("score") * F.col("score")) / 1e9, 4).alias("score"))
-    return R.gap_prune(s)
-
-
 @query(f"""WITH {SENTENCES}, s AS (SELECT doc_id AS id, ROUND(SUM(score * score) / 1e9, 4) AS score FROM sent GROUP BY doc_id), r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS rank, LAG(score) OVER (ORDER BY score DESC, id) AS prev FROM s),
 c AS (SELECT *, SUM(CASE WHEN rank > 6 AND score < 0.5 * prev THEN 1 ELSE 0 END) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS cut FROM r) SELECT id, score, rank FROM c WHERE cut = 0""")
 def score_gap_all_documents(t: Tables):
     return R.gap_prune(X.sentences(t).groupBy(F.col("doc_id").alias("id")).agg(F.round(F.sum(F.col("score") * F.col("score")) / 1e9, 4).alias("score")))
 
 
+query(SQL["score_gap_all_documents"], name="score_gap_prune")(score_gap_all_documents)
+
+
 @query("""WITH r AS (SELECT doc_id, source, n_chars // 4 AS cost, CAST(SUM(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM documents) SELECT doc_id, source, running FROM r WHERE running <= 8000""")
 def context_budget(t: Tables):
     rows = t.documents.select("doc_id", "source", F.floor(F.col("n_chars") / 4).alias("cost"))

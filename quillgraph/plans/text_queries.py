@@ -46,7 +46,7 @@ def document_dates(t: Tables):
     return t.orders.select("o_orderkey", T.document_date(text).alias("found"))
 
 
-@query(r"SELECT item_id, trim(regexp_replace(text || ' [1] and [12a]', '\s*\[[0-9]+[a-z]?\]', '', 'g')) AS plain, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS terms FROM benchmark")
+@query(r"SELECT item_id, trim(regexp_replace(text || ' [1] and [12a]', '\s*\[[0-9]+[a-z]\]', '', 'g')) AS plain, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS terms FROM benchmark")
 def marker_stripping(t: Tables):
     return t.benchmark.select("item_id", T.strip_markers(F.concat("text", F.lit(" [1] and [12a]"))).alias("plain"), T.fulltext_terms(F.col("text")).alias("terms"))
 

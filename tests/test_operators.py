@@ -93,7 +93,17 @@ def test_components_of_a_long_chain(spark):
 def test_entity_resolution(spark):
     names = spark.createDataFrame([("Acme Corp",), ("ACME corp.",), ("International Business Machines",), ("IBM",), ("Other",), (None,)], "name string")
     m = {r["name"]: r["canonical"] for r in resolve.merge_map(names).collect()}
-    assert m["IBM"] == "International Business Machines" and m["Acme Corp"] == m["ACME corp."] and m["Other"] == "Other"
+    assert m["International Business Machines"] == m["IBM"] == "IBM" and m["ACME corp."] == m["Acme Corp"] == "Acme Corp" and m["Other"] == "Other"
+    names = spark.createDataFrame([("Dr. Smith",), ("Doctor Smith",), ("J. Smith",), ("John Smith",), ("Jane Doe",), ("North East Trading House",), ("North West Trading House",), ("Globex",), ("Initech",)], "name string")
+    vectors = spark.createDataFrame([(1, "Globex", [1.0, 0.0]), (2, "Initech", [1.0, 0.01]), (3, "Jane Doe", [0.0, 1.0])], "vec_id long, name string, embedding array<double>")
+    m = {r["name"]: r["canonical"] for r in resolve.merge_map(names, vectors).collect()}
+    assert m["Doctor Smith"] == "Dr. Smith" and m["John Smith"] == "J. Smith" and m["Jane Doe"] == "Jane Doe" and m["North West Trading House"] == "North East Trading House" and m["Initech"] == "Globex"
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("Dr. Smith", "doctor smith", True), ("J. Smith", "John Smith", True), ("Int'l Bank", "International Bank", True), ("Ann Lee", "Ann Ray", False), ("A B C D", "A B C E", True), ("a b c", "a b d", False), ("", "", False)])
+def test_abbreviations(spark, a, b, want):
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(resolve.is_abbreviation(F.col("a"), F.col("b"))).first()[0]
+    assert got == want
 
 
 def test_similar_pairs_against_numpy(spark):
