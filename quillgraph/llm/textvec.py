@@ -155,7 +155,7 @@ def distinct(doc: np.ndarray, bucket: np.ndarray, n_docs: int, dim: int) -> tupl
     return indptr, (both % dim).astype(np.int32)
 
 
-def groups(offsets: np.ndarray, most: int = 4 << 20):
+def groups(offsets: np.ndarray, most: int = 2 << 20):
     """Ranges of texts of at most `most` bytes together, a longer text alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
