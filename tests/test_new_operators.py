@@ -114,3 +114,17 @@ def test_file_events(spark, tmp_path):
     batch((4, "b", "deleted", None), (5, "c", "uploaded", "C1"))
     files.follow(stream(), out, str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(tuple(r) for r in files.latest(spark, out).collect()) == [("a", "A2"), ("c", "C1")]
+
+
+def test_summary_tree_and_hierarchy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g * 100 + i, [float(10 * (g == j) + 0.1 * rng.normal()) for j in range(3)]) for g in range(3) for i in range(6)]
+    tree = community.summary_tree(spark.createDataFrame(rows, "node long, embedding array<double>"), levels=2).collect()
+    low = {r["node"]: r["parent"] for r in tree if r["level"] == 1}
+    assert len(low) == 18 and all(len({low[g * 100 + i] for i in range(6)}) == 1 for g in range(3)) and len(set(low.values())) == 3
+    assert {r["node"] for r in tree if r["level"] == 2} == set(low.values())
+    assert community.summary_tree(spark.createDataFrame(rows[:1], "node long, embedding array<double>")).count() == 0
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (10, 11, 1.0), (11, 12, 1.0), (10, 12, 1.0), (2, 10, 0.1)], "src long, dst long, w double")
+    levels = community.hierarchy(e, 1).collect()
+    first = {r["node"]: r["community"] for r in levels if r["level"] == 0}
+    assert len(set(first.values())) == 2 and first[0] == first[2] and first[10] == first[12]
