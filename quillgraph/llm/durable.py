@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     inner = context._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if inner.isEmpty():
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = folder or tempfile.mkdtemp(prefix="quillgraph-checkpoint-")
         context.setCheckpointDir(folder)
     return folder or inner.get()
