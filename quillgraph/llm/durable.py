@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,10 @@ def durable(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a compressed Parquet table in the shared folder: a smaller copy than a checkpoint, for tables that are large or read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

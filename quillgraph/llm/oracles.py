@@ -58,4 +58,34 @@ SELECT page_id, host, path, {_case(None)} AS rule,
 FROM rated
 """
 
-ORACLES = {"op3_url_reputation": OP3}
+def _share(n: str, total: str, terms: str) -> str:
+    return f"1 + (1000000000::HUGEINT * ({n} + 2)) // GREATEST({total}::HUGEINT + 2 * {terms}, 1)"
+
+
+def _f(p: str, q: str) -> str:
+    return f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, COALESCE(text, '') AS text, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, COUNT(*) AS n FROM words GROUP BY lang, term HAVING COUNT(DISTINCT r) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+cnt AS (SELECT lang, source, term, COUNT(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+tot AS (SELECT lang, source, COALESCE(SUM(n), 0) AS total FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY lang, source),
+lt AS (SELECT lang, COUNT(*) AS v, SUM(n) AS total FROM kept GROUP BY lang),
+p AS (
+  SELECT grp.lang, grp.source, kept.term, COALESCE(cnt.n, 0) AS n, {_share('COALESCE(cnt.n, 0)', 'tot.total', 'lt.v')} AS p, {_share('kept.n', 'lt.total', 'lt.v')} AS q
+  FROM grp JOIN kept USING (lang) JOIN lt USING (lang) JOIN tot ON tot.lang = grp.lang AND tot.source = grp.source LEFT JOIN cnt ON cnt.lang = grp.lang AND cnt.source = grp.source AND cnt.term = kept.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, SUM({_f('a.p', 'b.p')}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(COALESCE(pv.value, 0) AS BIGINT) AS value
+  FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pv ON pv.lang = g.lang AND pv.source = g.source AND pv.item = h.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST({_f('p', 'q')} AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM term) WHERE rank <= 10
+"""
+
+ORACLES = {"op3_url_reputation": OP3, "op11_divergence": OP11}

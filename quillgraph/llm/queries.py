@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from . import decontaminate, html_extract, packing, quality, sharding, simhash, telephony, token_counts, toxicity, url_reputation
+from . import bpe, decontaminate, divergence, html_extract, packing, quality, sharding, simhash, telephony, token_counts, toxicity, url_reputation, whitening
 from .oracles import ORACLES
 
 
@@ -66,8 +66,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents, toxicity.fit(documents, labels))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_url_reputation, op4_decontaminate, op5_html_extract, op6_sharding, op7_telephony, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_url_reputation, op4_decontaminate, op5_html_extract, op6_sharding, op7_telephony, op8_token_counts, op9_packing, op10_toxicity, op11_divergence, op12_whitening, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
