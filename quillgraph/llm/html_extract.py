@@ -12,8 +12,16 @@ Decoding is hierarchical: of all choices in which a node is kept only if its
 parent is, the one with the greatest sum of log-odds is taken, by one pass up
 and one down the tree. No kept node can thus stand in a dropped one.
 
+The names on the training pages join words of articles or of noise to words for
+places, and noise words stand on some articles too, so that no word decides
+about a subtree against its text.
+
 Scripts, styles, forms' controls, comments of the markup and the like never
 count as text. Null and empty pages, and pages without main text, give "".
+Repeated rows and ids have a row each. Pages of any length are read whole, a
+very long one by itself, so memory follows the longest page. A node whose
+log-odds are 0 is dropped. An empty table gives an empty result; further
+columns are not kept.
 """
 
 from __future__ import annotations
@@ -51,6 +59,8 @@ BARRIER = frozenset("table ul ol dl div article section main body nav aside head
 TAGS = "#text html body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 blockquote pre table tr td figure figcaption dl dd dt address details fieldset".split()
 #: Tags of which one column says that any is there.
 ASIDE_TAGS = "nav header footer aside form fieldset address".split()
+#: Added to each node's log-odds: to lose a piece of main text counts as much as to keep five of noise.
+LEAN = 1.6
 #: Places that the words of class, id and role are hashed to.
 WORD_PLACES = 4096
 
@@ -301,7 +311,7 @@ def main_texts(pages: list[str | None], model: Model) -> list[str]:
             size += len(pages[hi] or "")
             hi += 1
         nodes, parent, depth, x = features([parse(p or "") for p in pages[lo:hi]], model.words)
-        keep = choose(parent, depth, model.trees.raw(x))
+        keep = choose(parent, depth, model.trees.raw(x) + LEAN)
         page = np.cumsum(parent < 0) - 1
         found: list[list[str]] = [[] for _ in range(hi - lo)]
         for i in np.flatnonzero(keep).tolist():
@@ -336,10 +346,52 @@ def _paragraph(r: random.Random) -> str:
     return " ".join(s)
 
 
+#: Words that name a place in any part of a page, and so say nothing by themselves.
+PLACES = "body main content text wrap wrapper inner outer area container block box section page site layout col column row grid panel zone region module holder primary left right top center full single default item list group card view".split()
+#: Words of the article, and of each kind of noise. A name joins them to places, and to each other.
+ARTICLE_WORDS = "article post entry story content text blog news hentry document doc prose markdown essay feature report read reading mw wiki guide chapter paper".split()
+#: Noise words that articles bear too, as parts of a longer name.
+SHARED_WORDS = "nav menu header footer banner sidebar widget side aside top bar notice related ad promo hero share social tags".split()
+
+
+def _name(r: random.Random, words: list[str], places: float = 0.5) -> str:
+    """A name as sites give them: a word or two, often with a place before or after."""
+    parts = [r.choice(words)]
+    if parts == [""]:
+        return r.choice(PLACES) if r.random() < 0.3 else ""
+    if r.random() < places:
+        parts.insert(r.choice((0, 1, 1)), r.choice(PLACES))
+    if r.random() < 0.15:
+        parts.insert(0, r.choice(("site", "js", "x", "c", "is", "the", "my", "l", "o")))
+    if r.random() < 0.1:
+        return parts[0] + "".join(p.capitalize() for p in parts[1:])
+    return r.choice(("-", "-", "-", "_", "__", " ")).join(parts)
+
+
+def _article_name(r: random.Random) -> str:
+    """Of the element around the main text: its own words, places alone, nothing, a word unknown elsewhere, or noise words beside others."""
+    kind = r.random()
+    if kind < 0.35:
+        return _name(r, ARTICLE_WORDS, 0.6)
+    if kind < 0.55:
+        return r.choice(PLACES) if r.random() < 0.6 else f"{r.choice(PLACES)}-{r.choice(PLACES)}"
+    if kind < 0.62:
+        return ""
+    if kind < 0.72:
+        return _sentence(r, 1, 2)[:-1].lower().replace(" ", "-")
+    parts = [r.choice(SHARED_WORDS), r.choice((r.choice(ARTICLE_WORDS), r.choice(PLACES)))]
+    r.shuffle(parts)
+    return "-".join(parts + ([r.choice(PLACES)] if r.random() < 0.4 else []))
+
+
 def _marked(r: random.Random, tag: str, names: list[str], inner: str) -> str:
-    name = r.choice(names)
+    """An element of noise; its name is made of one of `names`."""
+    return _element(r, tag, _name(r, names), inner)
+
+
+def _element(r: random.Random, tag: str, name: str, inner: str) -> str:
     if name:
-        name = f' {r.choice(("class", "class", "id"))}="{r.choice(("", "", "site-", "js-", "x-"))}{name}"'
+        name = f' {r.choice(("class", "class", "id"))}="{name}"'
     return f"<{tag}{name}>{inner}</{tag}>"
 
 
@@ -367,7 +419,7 @@ def _noise(r: random.Random) -> str:
     if kind == "form":
         return f"<form{r.choice(('', ' class=search', ' id=login', ' class=subscribe'))}><p>{short}</p><label>{_sentence(r, 1, 3)}</label><input name=q><button>{short}</button></form>"
     if kind == "comments":
-        body = "".join(_marked(r, r.choice(("div", "li", "article")), ["comment", "reply", "comment-body"], f"<p>{_paragraph(r)}</p>") for _ in range(r.randint(1, 5)))
+        body = "".join(_marked(r, r.choice(("div", "li", "article")), ["comment", "reply", "response", "answer"], f"<p>{_paragraph(r)}</p>") for _ in range(r.randint(1, 5)))
         return _marked(r, r.choice(("div", "section", "ol", "ul")), ["comments", "comment-list", "discussion", "respond", "disqus"], f"<h3>{short}</h3>{body}")
     if kind == "related":
         return _marked(r, r.choice(("div", "section")), ["related", "recommend", "more"], f"<h4>{short}</h4>" + (_links(r) if r.random() < 0.6 else f"<p>{para}</p>"))
@@ -401,15 +453,15 @@ def training_page(r: random.Random) -> str:
         blocks.insert(r.randint(1, len(blocks)), _noise(r))
     tag = r.choice(("article", "article", "article", "div", "div", "main", "section"))
     body = "".join(blocks)
-    body = f"<{tag}>{body}</{tag}>" if tag in ("article", "main") and r.random() < 0.75 else _marked(r, tag, ["article", "post", "content", "main-content", "article-body", "entry", "story", "text", "post content", "", "hentry"], body)
-    for _ in range(r.randint(0, 2)):
-        body = _marked(r, r.choice(("div", "main", "section")), ["", "wrapper", "container", "page", "row", "main", "inner", "col"], "".join([*(_noise(r) for _ in range(r.choice((0, 0, 1)))), body, *(_noise(r) for _ in range(r.choice((0, 1, 2))))]))
+    body = f"<{tag}>{body}</{tag}>" if tag in ("article", "main") and r.random() < 0.6 else _element(r, tag, _article_name(r), body)
+    for _ in range(r.choice((0, 0, 1, 1, 2, 3))):
+        body = _element(r, r.choice(("div", "div", "main", "section")), _article_name(r) if r.random() < 0.5 else r.choice(("", *PLACES)), "".join([*(_noise(r) for _ in range(r.choice((0, 0, 1)))), body, *(_noise(r) for _ in range(r.choice((0, 1, 2))))]))
     head, tail = "".join(_noise(r) for _ in range(r.randint(0, 3))), "".join(_noise(r) for _ in range(r.randint(0, 3)))
     return f"<html><head><title>{_sentence(r, 2, 5)}</title></head><body>{head}{body}{tail}</body></html>"
 
 
 @functools.lru_cache(maxsize=2)
-def fit(pages: int = 700, seed: int = 5) -> Model:
+def fit(pages: int = 1400, seed: int = 5) -> Model:
     """Trees fitted on generated pages; a node is positive if any text below it is main text."""
     r = random.Random(seed)
     roots, good = [], set()
@@ -434,7 +486,7 @@ def fit(pages: int = 700, seed: int = 5) -> Model:
     column[often] = np.arange(len(often))
     words = Words(np.log(seen[1] / seen[0]), column)
     nodes, _, _, x = features(roots, words)
-    return Model(words, trees.fit(x, np.array([id(n) in good for n in nodes], float), NUMERIC))
+    return Model(words, trees.fit(x, np.array([id(n) in good for n in nodes], float), NUMERIC, trees=90, share_of_rows=0.25))
 
 
 def text_column(page: Column, model: Model | None = None) -> Column:

@@ -37,12 +37,12 @@ def fit(x: np.ndarray, y: np.ndarray, numeric: int, trees: int = 60, depth: int
     """Logistic loss and second-order gains; each tree sees a seeded share of the rows.
 
     The first `numeric` columns are cut at quantiles, at most `bins` bins each;
-    the others are 0 or 1, and count only if at least 10 rows (or all, of fewer) have a 1.
+    the others are 0 or 1.
     """
     n = len(x)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(numeric)]
     flat_all = np.stack([np.searchsorted(e, x[:, j], side="left") + j * bins for j, e in enumerate(edges)], axis=1)
-    names = numeric + np.flatnonzero(x[:, numeric:].sum(axis=0) >= min(10, n))
+    names = numeric + np.flatnonzero(x[:, numeric:].any(axis=0))
     flags_all = np.ascontiguousarray(x[:, names], dtype=np.float32)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Boosted(depth, float(np.log(share / (1 - share))))
