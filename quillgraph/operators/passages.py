@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cuts import greedy
+from .iterate import durable
 
 
 def words(c: Column) -> Column:
@@ -25,17 +27,16 @@ def plain_text(c: Column) -> Column:
 def joined_pairs(lines: DataFrame, short: int = 15, most: int = 120) -> DataFrame:
     """doc_id, idx, n, text: runs of neighbouring `Key: value` lines of at most `short` words are one line, joined by ` | `.
 
-    A run is cut where its words would pass a multiple of `most`; a line that is no pair is a run of its own.
+    A line that would take a joined one over `most` words begins the next; a line that is no pair is a run of its own.
     """
     w = Window.partitionBy("doc_id").orderBy("idx")
     pair = F.col("text").rlike(r"^[^:]{1,60}:\s*\S") & (F.size(words(F.col("text"))) <= short)
     rows = lines.withColumns({"pair": pair, "n": F.size(words(F.col("text")))})
     rows = rows.withColumn("new", (~F.col("pair") | ~F.coalesce(F.lag("pair").over(w), F.lit(False))).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("doc_id", "run").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("part", F.floor((F.sum("n").over(own) - 1) / most))
+    rows = greedy(rows.select("doc_id", "run", "idx", "n", "text"), ["doc_id", "run"], ["idx"], F.col("n"), most)
     text = F.array_join(F.sort_array(F.collect_list(F.struct("idx", "text")))["text"], " | ")
-    return rows.groupBy("doc_id", "run", "part").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n"), text.alias("text")).select("doc_id", "idx", "n", "text")
+    return rows.groupBy("doc_id", "run", "piece").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n"), text.alias("text")).select("doc_id", "idx", "n", "text")
 
 
 def same_text(before: Column, after: Column) -> Column:
@@ -44,20 +45,24 @@ def same_text(before: Column, after: Column) -> Column:
 
 
 def split_large(units: DataFrame, most: int = 1500, overlap: int = 50) -> DataFrame:
-    """doc_id, piece, text: texts of more than `most` tokens are cut at blank lines.
+    """doc_id, piece, text: texts are cut at blank lines into pieces of at most `most` words.
 
-    Paragraphs go into pieces by the tokens before them, and every piece but the first begins with the last `overlap`
-    words of the one before. A single paragraph is not cut.
+    A paragraph that would take its piece over the limit begins the next one, which repeats the last `overlap` words of
+    the piece before, if that has more; they count. A single paragraph is not cut.
     """
-    paras = F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")
-    tokens = lambda p: F.floor(F.length(p) / 4) + 1
+    paras = F.filter(F.transform(F.split("text", r"\n\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     rows = units.select("doc_id", F.posexplode(paras).alias("at", "p"))
-    before = F.coalesce(F.sum(tokens(F.col("p"))).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pieces = rows.withColumn("piece", F.floor(before / most)).groupBy("doc_id", "piece").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "p")))["p"], "\n\n").alias("body"))
-    w = Window.partitionBy("doc_id").orderBy("piece")
-    last = words(F.lag("body").over(w))
-    tail = F.array_join(F.slice(last, F.greatest(F.size(last) - overlap + 1, F.lit(1)), overlap), " ")
-    return pieces.select("doc_id", (F.row_number().over(w) - 1).alias("piece"), F.when(tail.isNotNull() & (tail != ""), F.concat(tail, F.lit("\n\n"), F.col("body"))).otherwise(F.col("body")).alias("text"))
+    cut = durable(greedy(rows, ["doc_id"], ["at"], F.size(words(F.col("p"))), most, overlap=overlap))
+    body = cut.groupBy("doc_id", "piece").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "p")))["p"], "\n\n").alias("body"), F.max("repeats").alias("repeats"), F.min("place").alias("begin"))
+    # what a piece repeats stands in the `overlap` paragraphs before it, and not before the last piece that repeats nothing
+    own = Window.partitionBy("doc_id").orderBy("piece")
+    body = body.withColumn("since", F.last(F.when(~F.col("repeats"), F.col("begin")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    before = body.where("repeats").select("doc_id", "piece", F.explode(F.sequence(F.greatest("since", F.col("begin") - overlap), F.col("begin") - 1)).alias("place"))
+    near = before.join(cut.select("doc_id", "place", F.slice(words(F.col("p")), -overlap, overlap).alias("all"), words(F.col("p")).alias("w")), ["doc_id", "place"])
+    last = near.groupBy("doc_id", "piece").agg(F.flatten(F.sort_array(F.collect_list(F.struct("place", F.when(F.size("w") > overlap, F.col("all")).otherwise(F.col("w")).alias("w"))))["w"]).alias("w"))
+    tail = last.select("doc_id", "piece", F.array_join(F.slice("w", F.greatest(F.size("w") - overlap + 1, F.lit(1)), overlap), " ").alias("tail"))
+    out = body.join(tail, ["doc_id", "piece"], "left")
+    return out.select("doc_id", "piece", F.when(F.col("tail").isNotNull(), F.concat("tail", F.lit("\n\n"), F.col("body"))).otherwise(F.col("body")).alias("text"))
 
 
 def slices(documents: DataFrame, most: int) -> DataFrame:
@@ -67,34 +72,33 @@ def slices(documents: DataFrame, most: int) -> DataFrame:
     return rows.select("doc_id", "piece", F.substr("text", F.col("piece") * most + 1, F.lit(most)).alias("text"))
 
 
-def halves(documents: DataFrame, most: int, tokens: Column | None = None, depth: int = 12) -> DataFrame:
+def halves(documents: DataFrame, most: int, tokens: Column | None = None) -> DataFrame:
     """doc_id, piece, text: texts of more than `most` tokens are halved at the blank next after their middle, again and again.
 
-    Each level splits what is still too long, so the plan is as deep as the longest text asks for, at most `depth`.
+    Each level splits what is still too long and is written out, so there are as many levels as the longest text asks
+    for. A text of one sign is not cut.
     """
     size = tokens if tokens is not None else F.floor(F.length("text") / 4) + 1
+    whole = (size <= most) | (F.length("text") < 2)
     rows, done = documents.select("doc_id", F.lit("").alias("path"), "text"), None
-    for _ in range(depth):
-        short = rows.where(size <= most)
+    while True:
+        short = rows.where(F.coalesce(whole, F.lit(True)))
         done = short if done is None else done.unionAll(short)
-        rows = rows.where(size > most)
+        rows = rows.where(~whole)
         if rows.isEmpty():
             break
         mid = F.ceil(F.length("text") / 2).cast("int")
         blank = F.locate(" ", F.substr("text", mid))
-        cut = F.when(blank > 0, mid + blank - 1).otherwise(mid)
+        cut = F.when((blank > 0) & (mid + blank - 1 < F.length("text")), mid + blank - 1).otherwise(mid)
         parts = F.array(F.struct(F.concat("path", F.lit("0")).alias("path"), F.trim(F.substr("text", F.lit(1), cut)).alias("text")), F.struct(F.concat("path", F.lit("1")).alias("path"), F.trim(F.substr("text", cut + 1)).alias("text")))
-        rows = rows.select("doc_id", F.explode(parts).alias("s")).select("doc_id", "s.path", "s.text")
-    else:
-        done = done.unionAll(rows)
+        rows = durable(rows.select("doc_id", F.explode(parts).alias("s")).select("doc_id", "s.path", "s.text"))
     return done.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).alias("piece"), "text")
 
 
 def filled_pages(pages: DataFrame, most: int) -> DataFrame:
-    """doc_id, piece, first_page, last_page, n_tokens: pages in order fill pieces; a page whose running tokens pass a multiple of `most` begins the next piece."""
-    w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("tokens").over(w), F.lit(0))
-    return pages.withColumn("piece", F.floor(before / most)).groupBy("doc_id", "piece").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum("tokens").alias("n_tokens"))
+    """doc_id, piece, first_page, last_page, n_tokens: pages in order fill pieces; a page that would take a piece over `most` tokens begins the next."""
+    cut = greedy(pages, ["doc_id"], ["page"], F.col("tokens"), most)
+    return cut.groupBy("doc_id", "piece").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum("tokens").alias("n_tokens"))
 
 
 def with_overlap(chunks: DataFrame, share: float = 0.1) -> DataFrame:
@@ -105,12 +109,9 @@ def with_overlap(chunks: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, order: str, tokens: str, most: int, count: int) -> DataFrame:
-    """Adds `batch`: rows of a group in order, a new batch where the tokens before them pass a multiple of `most` or `count` rows are full."""
-    w = Window.partitionBy(group).orderBy(order)
-    before = F.coalesce(F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stepped = rows.withColumn("__t", F.floor(before / most))
-    inner = F.floor((F.row_number().over(Window.partitionBy(group, "__t").orderBy(order)) - 1) / count)
-    return stepped.withColumn("__c", inner).withColumn("batch", F.dense_rank().over(Window.partitionBy(group).orderBy("__t", "__c")) - 1).drop("__t", "__c")
+    """Adds `batch`: rows of a group in order, a new batch where `most` tokens would be reached or `count` rows are full."""
+    cut = greedy(rows, [group], [order], F.col(tokens), most - 1, count)
+    return cut.select(*rows.columns, F.col("piece").alias("batch"))
 
 
 def section_batches(sentences: DataFrame, size: int = 15) -> DataFrame:

@@ -27,8 +27,10 @@ def _lines(t: Tables):
     return t.part.select(F.col("p_size").alias("doc_id"), F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")).alias("idx"), text.alias("text"))
 
 
-@query(f"""WITH {_LINES}, m AS (SELECT *, contains(text, ':') AS pair, len(string_split(text, ' ')) AS n FROM lines), r AS (SELECT *, CAST(NOT pair OR NOT COALESCE(LAG(pair) OVER (PARTITION BY doc_id ORDER BY idx), false) AS INT) AS new FROM m), g AS (SELECT *, SUM(new) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM r),
-p AS (SELECT *, (SUM(n) OVER (PARTITION BY doc_id, run ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1) // 8 AS part FROM g) SELECT doc_id, MIN(idx) AS idx, COUNT(*) AS n, string_agg(text, ' | ' ORDER BY idx) AS text FROM p GROUP BY doc_id, run, part""")
+@query(f"""WITH RECURSIVE {_LINES}, m AS (SELECT *, contains(text, ':') AS pair, len(string_split(text, ' ')) AS w FROM lines), g AS (
+  SELECT doc_id, idx, pair, w AS used, 0 AS piece, text FROM m WHERE idx = 1
+  UNION ALL SELECT m.doc_id, m.idx, m.pair, CASE WHEN m.pair AND g.pair AND used + w <= 8 THEN used + w ELSE w END, piece + CASE WHEN m.pair AND g.pair AND used + w <= 8 THEN 0 ELSE 1 END, m.text FROM g JOIN m ON m.doc_id = g.doc_id AND m.idx = g.idx + 1)
+SELECT doc_id, MIN(idx) AS idx, COUNT(*) AS n, string_agg(text, ' | ' ORDER BY idx) AS text FROM g GROUP BY doc_id, piece""")
 def joined_pairs(t: Tables):
     return P.joined_pairs(_lines(t), most=8)
 
@@ -40,11 +42,15 @@ def boundary_reviews(t: Tables):
     return t.benchmark.select("item_id", P.same_text(whole, moved).alias("same"))
 
 
-@query(rf"""WITH p AS (SELECT conv_id AS doc_id, turn AS k, regexp_replace(text, '\n\s*\n', chr(10), 'g') AS p FROM conversations WHERE trim(text) <> ''), b AS (SELECT *, COALESCE(SUM(length(p) // 4 + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100 AS piece FROM p), c AS (SELECT doc_id, piece, string_agg(p, chr(10) || chr(10) ORDER BY k) AS body FROM b GROUP BY doc_id, piece),
-l AS (SELECT *, LAG(body) OVER (PARTITION BY doc_id ORDER BY piece) AS before, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS number FROM c), w AS (SELECT *, list_filter(regexp_split_to_array(before, '\s+'), lambda x: x <> '') AS w FROM l)
-SELECT doc_id, number AS piece, CASE WHEN before IS NULL THEN body ELSE array_to_string(w[GREATEST(len(w) - 9, 1):], ' ') || chr(10) || chr(10) || body END AS text FROM w""")
+@query(r"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS k, trim(regexp_replace(text, '\n\n+', chr(10), 'g'), E' \t\r\n\v\f') AS p FROM conversations WHERE trim(text, E' \t\r\n\v\f') <> ''),
+w AS (SELECT *, len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) AS n FROM p), g AS (
+  SELECT doc_id, k, 0 AS piece, n AS used, p AS text FROM w WHERE k = 1
+  UNION ALL SELECT w.doc_id, w.k, CASE WHEN used + n <= 100 THEN piece ELSE piece + 1 END, CASE WHEN used + n <= 100 THEN used + n WHEN used > 10 THEN n + 10 ELSE n END,
+    CASE WHEN used + n <= 100 THEN text || chr(10) || chr(10) || p WHEN used > 10 THEN array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[-10:], ' ') || chr(10) || chr(10) || p ELSE p END
+  FROM g JOIN w ON w.doc_id = g.doc_id AND w.k = g.k + 1)
+SELECT doc_id, piece, arg_max(text, k) AS text FROM g GROUP BY doc_id, piece""")
 def large_sections_split(t: Tables):
-    turns = t.conversations.where(F.trim("text") != "").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", F.regexp_replace("text", r"\n\s*\n", "\n").alias("text"))))["text"], "\n\n").alias("text"))
+    turns = t.conversations.where(F.trim("text") != "").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", F.regexp_replace("text", r"\n\n+", "\n").alias("text"))))["text"], "\n\n").alias("text"))
     return P.split_large(turns, 100, 10)
 
 
@@ -59,7 +65,10 @@ def halved_pages(t: Tables):
     return P.halves(t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text"), 30)
 
 
-@query("WITH b AS (SELECT conv_id AS doc_id, turn AS page, length(text) AS tokens, COALESCE(SUM(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 900 AS piece FROM conversations) SELECT doc_id, piece, MIN(page) AS first_page, MAX(page) AS last_page, CAST(SUM(tokens) AS BIGINT) AS n_tokens FROM b GROUP BY doc_id, piece")
+@query("""WITH RECURSIVE m AS (SELECT conv_id AS doc_id, turn AS page, length(text) AS w, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), g AS (
+  SELECT doc_id, page, k, w, w AS used, 0 AS piece FROM m WHERE k = 1
+  UNION ALL SELECT m.doc_id, m.page, m.k, m.w, CASE WHEN used + m.w <= 900 THEN used + m.w ELSE m.w END, piece + CASE WHEN used + m.w <= 900 THEN 0 ELSE 1 END FROM g JOIN m ON m.doc_id = g.doc_id AND m.k = g.k + 1)
+SELECT doc_id, piece, MIN(page) AS first_page, MAX(page) AS last_page, CAST(SUM(w) AS BIGINT) AS n_tokens FROM g GROUP BY doc_id, piece""")
 def filled_pages(t: Tables):
     return P.filled_pages(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.length("text").alias("tokens")), 900)
 
@@ -69,7 +78,10 @@ def chunks_with_overlap(t: Tables):
     return P.with_overlap(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text"))
 
 
-@query("""WITH a AS (SELECT doc_id, source, COALESCE(SUM(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 5000 AS s FROM documents), b AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY source, s ORDER BY doc_id) - 1) // 4 AS c FROM a) SELECT doc_id, source, DENSE_RANK() OVER (PARTITION BY source ORDER BY s, c) - 1 AS batch FROM b""")
+@query("""WITH RECURSIVE m AS (SELECT doc_id, source, n_chars AS w, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), g AS (
+  SELECT doc_id, source, k, w AS used, 1 AS n, 0 AS batch FROM m WHERE k = 1
+  UNION ALL SELECT m.doc_id, m.source, m.k, CASE WHEN used + w >= 5000 OR n = 4 THEN w ELSE used + w END, CASE WHEN used + w >= 5000 OR n = 4 THEN 1 ELSE n + 1 END, batch + CASE WHEN used + w >= 5000 OR n = 4 THEN 1 ELSE 0 END FROM g JOIN m ON m.source = g.source AND m.k = g.k + 1)
+SELECT doc_id, source, batch FROM g""")
 def token_batches(t: Tables):
     return P.batches(t.documents.select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 5000, 4).select("doc_id", "source", "batch")
 

@@ -104,12 +104,19 @@ def sentence_context(t: Tables):
     return S.in_context(S.sentences(t.documents))
 
 
-@query()
+@query(r"""WITH RECURSIVE m AS (SELECT conv_id AS doc_id, turn AS idx, COALESCE(text, '') AS text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+s AS (SELECT *, rtrim(text, E' \t\r\n') LIKE '%:' OR (len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 3 AND NOT contains(text, '.')) AS stub FROM m),
+g AS (SELECT doc_id, idx, k, text, stub AS held FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.idx, s.k, s.text, s.stub AND NOT g.held FROM g JOIN s ON s.doc_id = g.doc_id AND s.k = g.k + 1),
+n AS (SELECT *, LEAD(text) OVER w AS nxt, COALESCE(LAG(held) OVER w, false) AS taken FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, idx, CASE WHEN held AND nxt IS NOT NULL THEN trim(text || ' ' || nxt, E' \t\r\n') ELSE text END AS text FROM n WHERE NOT taken""")
 def joined_stubs(t: Tables):
     return S.join_stubs(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT conv_id AS doc_id, turn AS idx, length(text) // 4 AS w, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), g AS (
+  SELECT doc_id, idx, k, w AS used, 0 AS bin FROM m WHERE k = 1
+  UNION ALL SELECT m.doc_id, m.idx, m.k, CASE WHEN used + w <= 200 THEN used + w ELSE w END, bin + CASE WHEN used + w <= 200 THEN 0 ELSE 1 END FROM g JOIN m ON m.doc_id = g.doc_id AND m.k = g.k + 1)
+SELECT doc_id, idx, bin FROM g""")
 def next_fit_bins(t: Tables):
     return S.next_fit(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), T.tokens_by_length(F.col("text")).alias("tokens")), 200)
 
