@@ -69,22 +69,14 @@ class Model:
         return {"index": self.index, "value": self.value, "bias": self.bias}
 
 
-#: Features of fewer rows of the sample are left out.
-LEAST_ROWS = 4
-
-
-def frequent(rows: list[np.ndarray], least: int = LEAST_ROWS) -> list[np.ndarray]:
-    """Rows without the features that fewer than `least` of them have."""
-    return linear.only(rows, linear.frequencies(rows, DIM) >= least) if least > 1 else rows
-
-
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5, least: int = LEAST_ROWS, seed: int = 11) -> Model:
-    """PASSES passes over the rows in seeded order; features in fewer than `least` rows are left out. With one class or none, every score is that class's smoothed share."""
+def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5, least: int = 1, seed: int = 11) -> Model:
+    """PASSES passes over the rows in seeded order; with `least` over 1, features in fewer rows are left out. With one class or none, every score is that class's smoothed share."""
     none = np.zeros(0, np.int64)
     if len(rows) < 2 or len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(none, none.astype(np.float32), float(np.log(share / (1 - share))))
-    rows = frequent(rows, least)
+    if least > 1:
+        rows = linear.only(rows, linear.frequencies(rows, DIM) >= least)
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
 
     def current(idx):
@@ -114,9 +106,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.5, beta: fl
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows_: int = FIT_ROWS) -> Model:
     """Fit on at most `fit_rows_` labelled rows outside the held-out fold."""
     rows, y = linear.sample(documents, labels, label, fit_rows_, featurize)
-    rows = frequent(rows)  # the sample's own arrays are given back before the passes begin
-    linear.release()
-    model = fit_rows(rows, y, least=1)
+    model = fit_rows(rows, y)
     del rows
     linear.release()
     return model
