@@ -176,10 +176,13 @@ def _hits(low: Column, phrases: tuple[str, ...], worth: float) -> Column:
 
 
 def ambiguity(question: Column) -> Column:
-    """0 to 1: 0.15 for each vague word, 0.2 for each word of wide scope or comparison, less 0.1 for each capitalised word after the first (0.3 at most)."""
+    """0 to 1: 0.15 for each vague word, 0.2 for each word of wide scope or comparison; less 0.15 for one capitalised word after the first, 0.3 for more, and 0.2 for a quotation mark."""
     low = F.lower(question)
-    proper = F.size(F.filter(F.slice(F.split(question, " "), 2, 1000), lambda w: w.rlike("^[A-Z].")))
-    score = _hits(low, VAGUE, 0.15) + _hits(low, SCOPE, 0.2) + _hits(low, COMPARING, 0.2) - F.least(proper * 0.1, F.lit(0.3))
+    words = F.filter(F.split(question, r"\s+"), lambda w: w != "")
+    proper = F.size(F.filter(F.slice(words, 2, 1 << 30), lambda w: w.rlike(r"(?s)^\p{Lu}.")))
+    named = F.when(proper >= 2, 0.3).when(proper == 1, 0.15).otherwise(0.0)
+    quoted = F.when(question.rlike("[\"']"), 0.2).otherwise(0.0)
+    score = _hits(low, VAGUE, 0.15) + _hits(low, SCOPE, 0.2) + _hits(low, COMPARING, 0.2) - named - quoted
     return F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 6)
 
 

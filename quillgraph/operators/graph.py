@@ -215,15 +215,15 @@ def expand_by_entities(mentions: DataFrame, seeds: DataFrame, sentences: DataFra
     )
 
 
-def descendants(tree: DataFrame, root: Column, depth: int = 16) -> DataFrame:
-    """id, depth of everything below and including `root` in (id, parent), up to `depth` levels."""
-    front = tree.where(F.col("id") == root).select("id", F.lit(0).alias("depth"))
-    out = front
-    for d in range(1, depth + 1):
-        front = tree.join(front.select(F.col("id").alias("up")), tree["parent"] == F.col("up")).select("id", F.lit(d).alias("depth"))
+def descendants(tree: DataFrame, root: Column) -> DataFrame:
+    """id, depth of everything below and including `root` in (id, parent), however deep; each level is written out, and a node is reached once, so a cycle ends."""
+    front = durable(tree.where(F.col("id") == root).select("id", F.lit(0).alias("depth")))
+    out, d = front, 0
+    while not front.isEmpty():
+        d += 1
+        below = tree.join(front.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        front = durable(below.join(out.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth")))
         out = out.unionAll(front)
-        if front.isEmpty():
-            break
     return out
 
 

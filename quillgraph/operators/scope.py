@@ -15,7 +15,11 @@ GENERIC_SEEDS = (
     "routing number", "routing numbers", "bank routing number", "bank routing numbers", "bank account number",
 )
 SHORT_GENERIC = ("swift", "iban", "bic", "ach")
-ROLES = ("builder", "buyer", "seller", "owner", "agent", "contractor", "tenant", "landlord", "lender", "borrower", "customer", "vendor")
+ROLES = (
+    "builder", "buyer", "buyer/owner", "seller", "owner", "agent", "customer", "contractor", "subcontractor", "vendor", "supplier", "manufacturer", "administrator", "arbitrator", "mediator",
+    "pumper", "tenant", "landlord", "lessee", "lessor", "licensee", "licensor", "manager", "principal", "representative", "authorized representative",
+    "party", "parties", "claimant", "respondent", "insured", "beneficiary", "guarantor", "indemnitor", "county", "state", "municipality", "city", "government",
+)
 
 
 def group_ids(group: str) -> list[str]:

@@ -129,10 +129,19 @@ def comparison_results(t: Tables):
     return t.nation.select("n_nationkey", F.explode(A.comparison_lines(text)).alias("r")).select("n_nationkey", "r.*")
 
 
-@query("SELECT n_nationkey, round(LEAST(CASE n_regionkey WHEN 0 THEN 0.35 WHEN 1 THEN 0.0 ELSE 0.4 END, 1.0), 6) AS ambiguity, n_regionkey = 1 OR n_regionkey = 0 AS explicit, CASE n_regionkey WHEN 0 THEN 2 ELSE 1 END AS parts FROM nation")
+def _worth(phrases: tuple[str, ...], worth: float) -> str:
+    return " + ".join(f"CAST(contains(low, '{p}') AS INT) * {worth}" for p in phrases)
+
+
+@query(rf"""WITH q AS (SELECT conv_id, turn, text, lower(text) AS low, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[2:] AS rest FROM conversations),
+n AS (SELECT *, len(list_filter(rest, lambda x: regexp_matches(x, '(?s)^\p{{Lu}}.'))) AS proper FROM q)
+SELECT conv_id, turn, CAST(round(GREATEST(LEAST({_worth(A.VAGUE, 0.15)} + {_worth(A.SCOPE, 0.2)} + {_worth(A.COMPARING, 0.2)} - CASE WHEN proper >= 2 THEN 0.3 WHEN proper = 1 THEN 0.15 ELSE 0 END - CASE WHEN regexp_matches(text, '["'']') THEN 0.2 ELSE 0 END, 1), 0), 6) AS DOUBLE) AS ambiguity,
+  regexp_matches(text, '\S\s+[A-Z][a-z]') OR regexp_matches(text, '["''][^"'']{{2,}}["'']') OR regexp_matches(text, '\b[A-Z]{{2,}}-?\d+\b') AS explicit,
+  len(list_filter(regexp_split_to_array(text, '(?i)\s+and\s+|;\s*|\?\s*'), lambda x: trim(x) <> '')) AS parts FROM n""")
 def question_ambiguity(t: Tables):
-    q = F.when(F.col("n_regionkey") == 0, "Compare the main points and what 'it says'").when(F.col("n_regionkey") == 1, "Where is the bill INV-2024 of Acme?").otherwise("what is better overall")
-    return t.nation.select("n_nationkey", A.ambiguity(q).cast("double").alias("ambiguity"), A.has_explicit_entity(q).alias("explicit"), F.size(A.parts_of(q)).alias("parts"))
+    """Every turn of the conversations as a question."""
+    q = F.col("text")
+    return t.conversations.select("conv_id", "turn", A.ambiguity(q).cast("double").alias("ambiguity"), A.has_explicit_entity(q).alias("explicit"), F.size(A.parts_of(q)).alias("parts"))
 
 
 @query("SELECT doc_id, 64 AS width, CASE WHEN regexp_matches(lower(text), '[a-z0-9$%]') THEN 1.0 ELSE 0.0 END AS norm FROM documents")

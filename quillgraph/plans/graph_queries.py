@@ -42,7 +42,7 @@ def hub_entities(t: Tables):
 
 
 @query(f"""WITH {SENTENCES}, {MENTIONS}, unit AS (SELECT DISTINCT eid, doc_id AS doc, section_id AS sec FROM mention JOIN sent USING (sid)),
-rare AS (SELECT eid FROM unit GROUP BY eid HAVING COUNT(*) > 1 AND COUNT(*) <= 50), u AS (SELECT unit.* FROM unit JOIN rare USING (eid))
+u AS (SELECT * FROM unit)
 SELECT a.doc AS doc_a, a.sec AS sec_a, b.doc AS doc_b, b.sec AS sec_b, COUNT(*) AS shared, ROUND(CAST(0.1 * COUNT(*) AS DOUBLE), 6) AS boost
 FROM u a JOIN u b ON a.eid = b.eid AND a.doc < b.doc GROUP BY a.doc, a.sec, b.doc, b.sec HAVING COUNT(*) >= 2""")
 def shares_entity(t: Tables):

@@ -86,7 +86,7 @@ def community_peers(t: Tables):
 
 @query()
 def detected_communities(t: Tables):
-    return C.label_propagation(X.relations(t), rounds=3)
+    return C.label_propagation(X.relations(t))
 
 
 @query("""WITH w AS (SELECT conv_id * 1000 + turn AS id, role, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM conversations)

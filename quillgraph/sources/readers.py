@@ -23,11 +23,16 @@ def csv_files(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
     """One page a row after the header, values joined by commas; quoted values may hold commas and line ends.
 
     Pages count from 0 and offsets are those of the content before, in the order of rows of a file. Rows of fewer
-    than `columns` values are padded by the reader and cut again here.
+    than `columns` values are padded by the reader and cut again here; of a row with more, the whole record is taken
+    apart here, so none is lost.
     """
     names = [f"c{i}" for i in range(columns)]
-    rows = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=True, enforceSchema=True, multiLine=True, escape='"', recursiveFileLookup=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    line = F.concat_ws(",", *names)
+    schema = ", ".join(f"{n} string" for n in [*names, "_record"])
+    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=True, escape='"', recursiveFileLookup=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, columnNameOfCorruptRecord="_record", mode="PERMISSIVE")
+    values = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace("_record", r"\r?\n$", "")), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = F.transform(values, lambda v: F.when(v.startswith('"'), F.replace(F.regexp_replace(v, r'(?s)^"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"'))).otherwise(F.trim(v)))
+    wide = F.coalesce(F.length("_record") - F.length(F.replace("_record", F.lit(","))) >= columns, F.lit(False))
+    line = F.when(wide & (F.size(values) > columns), F.array_join(F.filter(bare, lambda v: v != ""), ",")).otherwise(F.concat_ws(",", *names))
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), line.alias("content")).where("content <> ''")
     w = Window.partitionBy("path").orderBy("at")
     run = F.coalesce(F.sum(F.length("content")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -82,3 +82,23 @@ def test_halves_go_as_deep_as_the_text_asks_for(spark):
     found = passages.halves(spark.createDataFrame([(1, "a" * 70_000), (2, ""), (3, None), (4, " " * 9000)], "doc_id long, text string"), 3).collect()
     assert max(len(x.text or "") for x in found) <= 11
     assert "".join(x.text for x in sorted((x for x in found if x.doc_id == 1), key=lambda x: x.piece)) == "a" * 70_000
+
+
+def test_csv_rows_of_any_width_are_read_whole(spark, tmp_path):
+    from quillgraph.sources import readers
+
+    wide = [f"v{i}" for i in range(200)]
+    wide[70] = '"a, ""b"" c"'
+    (tmp_path / "w.csv").write_text(",".join(f"h{i}" for i in range(200)) + "\n" + ",".join(wide) + "\nx,y\n")
+    got = [x.content for x in readers.csv_files(spark, str(tmp_path)).orderBy("page").collect()]
+    assert got == [",".join([*wide[:70], 'a, "b" c', *wide[71:]]), "x,y"]
+
+
+def test_descendants_of_any_depth_and_in_a_cycle(spark):
+    from quillgraph.operators import graph, lifecycle
+
+    deep = [(i, i - 1 if i else None) for i in range(30)]
+    tree = spark.createDataFrame([*deep, (100, 101), (101, 100)], "id long, parent long")
+    assert {(x.id, x.depth) for x in graph.descendants(tree, F.lit(3)).collect()} == {(i, i - 3) for i in range(3, 30)}
+    assert {x.id for x in graph.descendants(tree, F.lit(100)).collect()} == {100, 101}
+    assert {x.id for x in lifecycle.without_folder(tree, F.lit(5)).collect()} == {0, 1, 2, 3, 4, 100, 101}
