@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written as a table to the folder in spark.checkpoint.dir (a local one only where that is unset) and read from there.
-
-    A checkpoint would work out the rows twice, once to see them and once to write them.
-    """
-    context = df.sparkSession.sparkContext
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """The name of a new folder in the one in spark.checkpoint.dir (a local one only where that is unset)."""
+    context = spark.sparkContext
     inner = context._jsc.sc().getCheckpointDir()
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or (inner.get() if inner.isDefined() else None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or (inner.get() if inner.isDefined() else None)
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillgraph-")
         context.setCheckpointDir(folder)
-    path = f"{folder}/rows-{uuid4()}"
+    return f"{folder}/{stem}-{uuid4()}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written as a table to a new folder and read from there.
+
+    A checkpoint would work out the rows twice, once to see them and once to write them.
+    """
+    path = new_folder(df.sparkSession, "rows")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

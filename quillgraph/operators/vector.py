@@ -7,11 +7,15 @@ with matrix products.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import durable
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -97,16 +101,8 @@ def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, least: float | No
     return left.unionByName(right).groupBy("i", "j").applyInArrow(compare, _FOUND)
 
 
-def similar_pairs(vectors: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a < b, score of all pairs with cosine of at least `least`, from (vec_id, embedding).
-
-    Vectors are dealt to blocks of about `block_rows` by a hash of their id, and
-    a task compares two blocks by matrix products: nothing goes through the
-    driver, memory is bounded by two blocks, and the work is the square, as
-    exact all-pairs similarity is.
-    """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    rows = _dealt(vectors.select("vec_id", "embedding"), "vec_id", "own", blocks, "other", blocks)
+def _near(least: float):
+    """Pairs with a cosine of at least `least` between the rows of block `i` and of block `j` of a group (or inside the one)."""
 
     def near(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
@@ -124,8 +120,60 @@ def similar_pairs(vectors: DataFrame, least: float, block_rows: int = BLOCK_ROWS
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table({"a": join(first, pa.int64()), "b": join(second, pa.int64()), "score": join(scores, pa.float64())})
 
+    return near
+
+
+def similar_pairs(vectors: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a < b, score of all pairs with cosine of at least `least`, from (vec_id, embedding).
+
+    Vectors are dealt to blocks of about `block_rows` by a hash of their id, and
+    a task compares two blocks by matrix products: nothing goes through the
+    driver, memory is bounded by two blocks, and the work is the square, as
+    exact all-pairs similarity is. `banded_pairs` does less and may miss some.
+    """
+    blocks = max(1, -(-vectors.count() // block_rows))
+    rows = _dealt(vectors.select("vec_id", "embedding"), "vec_id", "own", blocks, "other", blocks)
     pairs = rows.select("vec_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return pairs.groupBy("i", "j").applyInArrow(near, "a long, b long, score double").withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+    return pairs.groupBy("i", "j").applyInArrow(_near(least), "a long, b long, score double").withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+
+
+def bands_for(least: float, rows: int, recall: float = 0.97) -> tuple[int, int]:
+    """(bits of a band, bands): buckets of some 64 rows, and as many bands as find a pair of similarity `least` with probability `recall`.
+
+    A random plane parts two vectors with the probability of their angle over 180 degrees.
+    """
+    bits = max(4, math.ceil(math.log2(max(rows, 1) / 64)))
+    same = (1 - math.acos(min(max(least, -1.0), 1.0)) / math.pi) ** bits
+    return bits, 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def banded_pairs(vectors: DataFrame, least: float, recall: float = 0.97, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a < b, score of pairs with cosine of at least `least`: all that share a bucket in one of the bands of random hyperplanes, verified exactly.
+
+    A pair just at `least` is found with probability `recall` (more alike ones with more); `similar_pairs` finds all.
+    Bits and bands follow from the number of rows, so buckets stay small while it grows. A crowded bucket is dealt to
+    blocks that are compared two by two. Null and zero vectors, and those of another length than the first, are in no
+    pair.
+    """
+    rows = vectors.select("vec_id", "embedding").where(norm(F.col("embedding")) > 0)
+    first = rows.select(F.size("embedding").alias("d")).first()
+    if first is None:
+        return similar_pairs(rows, least)
+    rows, width = rows.where(F.size("embedding") == first["d"]), first["d"]
+    bits, bands = bands_for(least, rows.count(), recall)
+
+    @F.arrow_udf("array<long>")
+    def codes(column: pa.Array) -> pa.Array:
+        planes = np.random.default_rng(seed).normal(size=(width, bands * bits))
+        side = (_unit_rows(column) @ planes > 0).reshape(len(column), bands, bits)
+        return pa.array(list((side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)), pa.list_(pa.int64()))
+
+    keys = durable(rows.select("vec_id", F.posexplode(codes(F.col("embedding"))).alias("band", "code")))
+    size = keys.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "code", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    met = keys.join(size, ["band", "code"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("vec_id", "band", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = dealt.join(rows, "vec_id").groupBy("band", "code", "i", "j").applyInArrow(_near(least), "a long, b long, score double")
+    return found.withColumn("score", F.round("score", 6)).where(F.col("score") >= least).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def capped_edges(pairs: DataFrame, most: int) -> DataFrame:
