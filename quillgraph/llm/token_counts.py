@@ -8,8 +8,9 @@ this holds is read from the tokenizer's file (`cuttable`); texts are encoded
 whole where it does not.
 
 Pieces of all texts of an Arrow batch are worked on together: short ones are
-told apart by a 64-bit hash of their bytes, each distinct one that the worker
-does not know yet is encoded once, and longer ones are encoded as they come.
+told apart by a 64-bit hash of their bytes (two of REMEMBERED pieces share one
+with a probability of about 1e-7, and then a count), each distinct one that the
+worker does not know yet is encoded once, and longer ones are encoded as they come.
 Calls to the library take batches of about BATCH_BYTES of UTF-8, whatever the
 texts they come from.
 
