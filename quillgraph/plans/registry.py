@@ -25,6 +25,8 @@ def query(sql: str | None = None, name: str | None = None):
 
     def put(f: Callable[[Tables], DataFrame]):
         key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"there are two queries named {key}")
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[key] = sql
