@@ -6,6 +6,8 @@ dry run); a caller writes it as a new version.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,23 +54,49 @@ def stale_edges(edges: DataFrame, state: DataFrame) -> DataFrame:
 def isolation(tables: dict[str, DataFrame], tenant: str = "group_id") -> DataFrame:
     """label, missing: rows of each table without a tenant."""
     parts = [df.agg(F.count_if(F.col(tenant).isNull() | (F.col(tenant) == "")).alias("missing")).select(F.lit(name).alias("label"), "missing") for name, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return reduce(DataFrame.unionAll, parts)
+
+
+def health(sentences: DataFrame, mentions: DataFrame, edges: DataFrame, computed: DataFrame, violations: DataFrame) -> DataFrame:
+    """Counts of every group and their `health_score`.
+
+    sentences (sid, doc_id, group_id, deprecated), mentions (sid, eid), edges
+    (src, dst) between sentences, computed (group_id, last_change, last_computed),
+    violations (label, missing) as `isolation` gives them. A document is deprecated
+    in a group if all its sentences there are; an entity is an orphan of a group
+    that only deprecated sentences of it mention; an edge is stale in the group of
+    its first end if either end is deprecated; a group that changed after its last
+    computation, or was never computed, is stale. Rows without a tenant count
+    against every group, and are in no group.
+    """
+    own = sentences.where("group_id is not null")
+    live = F.bool_or(~F.col("deprecated"))
+    docs = own.groupBy("group_id", "doc_id").agg(live.alias("live")).groupBy("group_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("live")).alias("deprecated"))
+    place = own.select("sid", "group_id", "deprecated")
+    entities = place.join(mentions.select("sid", "eid"), "sid").groupBy("group_id", "eid").agg(live.alias("live")).groupBy("group_id").agg(F.count(F.lit(1)).alias("entities"), F.count_if(~F.col("live")).alias("orphans"))
+    ends = place.select(F.col("sid").alias("dst"), F.col("deprecated").alias("other"))
+    stale = edges.select("src", "dst").distinct().join(place.withColumnRenamed("sid", "src"), "src").join(ends, "dst", "left").where(F.col("deprecated") | F.coalesce("other", F.lit(False))).groupBy("group_id").agg(F.count(F.lit(1)).alias("stale"))
+    late = computed.select("group_id", F.coalesce(F.col("last_change") > F.col("last_computed"), F.col("last_computed").isNull()).alias("is_stale"))
+    out = docs.join(entities, "group_id", "left").join(stale, "group_id", "left").join(late, "group_id", "left")
+    out = out.crossJoin(F.broadcast(violations.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"))))  # one row
+    return health_score(out.fillna(0, ["entities", "orphans", "stale"]).fillna(False, ["is_stale"]))
 
 
 def health_score(stats: DataFrame) -> DataFrame:
-    """100 less capped deductions: orphans up to 20, stale edges up to 15, staleness 10, isolation up to 30, deprecation up to 10."""
+    """Adds `score`, 100 less: the percentage of orphans among entities, up to 20; a tenth of the stale edges, up to 15; 10 for a stale group; 5 for each row without a tenant, up to 30; 20 times the share of deprecated documents over a half, up to 10."""
+
+    def share(part: str, whole: str):
+        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+
     score = (
         100.0
-        - F.least(F.lit(20.0), 100.0 * F.col("orphans") / F.greatest("entities", F.lit(1)))
-        - F.least(F.lit(15.0), 100.0 * F.col("stale") / F.greatest("edges", F.lit(1)))
+        - F.least(F.lit(20.0), 100.0 * share("orphans", "entities"))
+        - F.least(F.lit(15.0), F.col("stale") / 10.0)
         - F.when(F.col("is_stale"), 10.0).otherwise(0.0)
-        - F.least(F.lit(30.0), 1.0 * F.col("missing"))
-        - F.least(F.lit(10.0), 100.0 * F.col("deprecated") / F.greatest("sentences", F.lit(1)))
+        - F.least(F.lit(30.0), 5.0 * F.col("missing"))
+        - F.least(F.lit(10.0), 20.0 * F.greatest(share("deprecated", "documents") - 0.5, F.lit(0.0)))
     )
-    return stats.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 4))
+    return stats.withColumn("score", F.greatest(F.round(score, 1), F.lit(0.0)))
 
 
 def without_documents(documents: DataFrame, sentences: DataFrame, mentions: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The factors, and the lengths they start from.
+# The factors, the lengths they start from, and the forms of lines.
 FORM_LABEL, EMPTY, BARE_HEADING, THIN = 0.05, 0.10, 0.10, 0.20
+LEAST_SIGNS, LEAST_TOKENS = 20, 50
+LABEL = r"[A-Za-z0-9 '\-/()]+:"
+FILLED = r"[A-Za-z][A-Za-z0-9 /\-()']+:\s*[A-Za-z0-9]"
+BLANK_SIGNS = r"[\s_\-.=:|/\[\]()#*>`]+"
+
+#: A label with a rule of at least two signs, a checkbox or nothing after it; or a line of separators.
+FORM_LINE = rf"^(?:{LABEL}\s*(?:[_\-.]{{2,}}|\[?\s*\]?)|[_\-.=]{{4,}})$"
 
 
 def form_label_penalty(text: Column) -> Column:
-    """0.05 if at least half the lines are labels (short, ending in ':'), 0.10 for empty text, else 1."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    labels = F.size(F.filter(lines, lambda x: x.endswith(":") & (F.length(x) <= 40)))
-    return F.when(F.trim(text) == "", EMPTY).when(labels * 2 >= F.size(lines), FORM_LABEL).otherwise(1.0)
+    """0.05 if at least half the lines that are not blank are form lines, 0.10 where there are none, else 1."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    forms = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(FORM_LINE))))
+    return F.when(F.size(lines) == 0, EMPTY).when(forms * 2 >= F.size(lines), FORM_LABEL).otherwise(1.0)
 
 
 def bare_heading_penalty(text: Column) -> Column:
-    """0.10 for under 20 letters and digits."""
-    return F.when(F.length(F.regexp_replace(text, r"[^A-Za-z0-9]", "")) < 20, BARE_HEADING).otherwise(1.0)
+    """0.10 for under 20 signs other than white space, rules and marks of structure."""
+    return F.when(F.length(F.regexp_replace(text, BLANK_SIGNS, "")) < LEAST_SIGNS, BARE_HEADING).otherwise(1.0)
 
 
 def thin_penalty(text: Column) -> Column:
-    """0.20 for under 50 estimated tokens, unless a filled `Label: value` line is there."""
-    filled = F.regexp_like(text, F.lit(r"(?m)^[A-Za-z ]{2,40}: *\S"))
-    return F.when((F.floor(F.length(text) / 4) + 1 < 50) & ~filled, THIN).otherwise(1.0)
+    """0.20 for under 50 estimated tokens, unless a label with a value is there."""
+    return F.when((F.floor(F.length(text) / 4) + 1 < LEAST_TOKENS) & ~F.regexp_like(text, F.lit(FILLED)), THIN).otherwise(1.0)
 
 
 def noise_penalty(text: Column) -> Column:

@@ -12,6 +12,13 @@ from .registry import Tables, query
 
 _STATE = "state AS (SELECT sid, doc_id, s_nationkey % 4 = 1 AS deprecated FROM sent JOIN supplier ON s_suppkey = doc_id)"
 
+# The values of a vector, each times its place and as a whole number of millionths, so that the sum is exact.
+_VALUES = "CAST(list_sum(list_transform(embedding, lambda x, i: i * CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT)"
+
+
+def _values(vector):
+    return F.aggregate(F.transform(vector, lambda x, i: (i + 1) * F.round(x.cast("double") * 1000000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
 
 def _gone(t: Tables):
     return t.supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("doc_id"))
@@ -42,10 +49,10 @@ def renamed_documents(t: Tables):
     return out.select("doc_id", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query(f"WITH {SENTENCES}, {_STATE} SELECT vec_id AS sid, CASE WHEN COALESCE(deprecated, false) THEN 0 ELSE len(embedding) END AS width FROM embeddings LEFT JOIN state ON sid = vec_id")
+@query(f"WITH {SENTENCES}, {_STATE} SELECT vec_id AS sid, CASE WHEN COALESCE(deprecated, false) THEN 0 ELSE len(embedding) END AS width, CASE WHEN NOT COALESCE(deprecated, false) THEN {_VALUES} END AS place_sum FROM embeddings LEFT JOIN state ON sid = vec_id")
 def deprecated_vectors(t: Tables):
     out = L.without_dead_vectors(t.embeddings.select(F.col("vec_id").alias("sid"), "embedding"), _state(t))
-    return out.select("sid", F.coalesce(F.size("embedding"), F.lit(0)).alias("width")).withColumn("width", F.greatest("width", F.lit(0)))
+    return out.select("sid", F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)).alias("width"), _values(F.col("embedding")).alias("place_sum"))
 
 
 @query(f"""WITH {SENTENCES}, {MENTIONS}, {_STATE}, e AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders), dead AS (SELECT sid FROM state WHERE deprecated)
@@ -127,11 +134,11 @@ def upsert_communities(t: Tables):
     return upsert(old, new, ["community"], "version").join(size, "community", "left").fillna(0, ["members"]).select("community", "title", "members")
 
 
-@query(f"WITH {RELATIONS} SELECT src, dst, COALESCE(len(embedding), 0) AS width FROM rel LEFT JOIN embeddings ON vec_id = src")
+@query(f"WITH {RELATIONS} SELECT src, dst, COALESCE(len(embedding), 0) AS width, {_VALUES} AS place_sum FROM rel LEFT JOIN embeddings ON vec_id = src")
 def triple_vectors(t: Tables):
     """Edges with the vectors that were made for them; the others have none."""
     made = t.embeddings.select(F.col("vec_id").alias("src"), "embedding")
-    return X.relations(t).join(made, "src", "left").select("src", "dst", F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)).alias("width"))
+    return X.relations(t).join(made, "src", "left").select("src", "dst", F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)).alias("width"), _values(F.col("embedding")).alias("place_sum"))
 
 
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT 0 AS query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE label <> 3) SELECT query_id, vec_id, score, ROW_NUMBER() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10")

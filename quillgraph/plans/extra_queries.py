@@ -11,7 +11,7 @@ from ..operators import noise as N
 from ..operators import segment as S
 from ..sources import readers
 from .registry import Tables, query
-from .text_queries import _SENTENCES
+from .text_queries import _LINES, _PENALTY, _SENTENCES
 
 
 @query(r"SELECT n_nationkey, 'Nation: ' || n_name || ', Region: ' || r_name || ', Key: ' || CAST(n_nationkey AS VARCHAR) AS sentence FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -36,10 +36,9 @@ def folder_names(t: Tables):
     return t.part.select("p_partkey", T.safe_folder(F.concat(F.lit("../"), F.col("p_name"), F.lit("/x*"))).alias("folder"))
 
 
-@query("SELECT n_nationkey, replace(upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)), '_', '') || 'Name' AS pascal, regexp_replace(n_name || ' (a+b)', '([+!(){}^~*?:/&|-])', '\\\\\\1', 'g') AS escaped FROM nation WHERE NOT contains(n_name, ' ')")
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(regexp_replace(p_name || '_part-name', '[_ -]+', ' ', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '') AS pascal, regexp_replace(p_name || ' (a+b)', '([+!(){}^~*?:/&|-])', '\\\\\\1', 'g') AS escaped FROM part""")
 def name_forms(t: Tables):
-    rows = t.nation.where(~F.contains("n_name", F.lit(" ")))
-    return rows.select("n_nationkey", T.pascal_case(F.concat("n_name", F.lit("_name"))).alias("pascal"), T.escape_query(F.concat("n_name", F.lit(" (a+b)"))).alias("escaped"))
+    return t.part.select("p_partkey", T.pascal_case(F.concat("p_name", F.lit("_part-name"))).alias("pascal"), T.escape_query(F.concat("p_name", F.lit(" (a+b)"))).alias("escaped"))
 
 
 _WORDS = "list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9$% ]+', ' ', 'g'), ' +', ' ', 'g'), ' '), lambda x: x <> ''))"
@@ -60,13 +59,15 @@ def letterhead_triples(t: Tables):
     return E.letterhead_triples(S.sentences(t.documents))
 
 
-@query(r"""WITH x AS (SELECT text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), p AS (SELECT CAST(ROUND(CASE WHEN trim(text) = '' THEN 0.10 WHEN len(list_filter(l, lambda x: x LIKE '%:' AND length(x) <= 40)) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
- * CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 20 THEN 0.10 ELSE 1.0 END * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '(?m)^[A-Za-z ]{2,40}: *\S') THEN 0.20 ELSE 1.0 END, 6) AS DOUBLE) AS penalty FROM x) SELECT penalty, COUNT(*) AS n FROM p GROUP BY penalty""")
+@query(f"WITH {_LINES} SELECT penalty, COUNT(*) AS n FROM (SELECT {_PENALTY} FROM x) p GROUP BY penalty")
 def noise_filter_stats(t: Tables):
     return N.filter_stats(t.documents)
 
 
-@query("SELECT item_id, CASE WHEN contains(lower(text), 'the') THEN '\"the\"^2.0' ELSE '' END AS phrase FROM benchmark")
+@query(r"""WITH b AS (SELECT item_id, lower(text) AS low FROM benchmark), w AS (SELECT item_id, low, list_filter(string_split(regexp_replace(replace(replace(low, 'the', ' '), 'with', ' '), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3) AS words FROM b),
+first AS (SELECT item_id, string_agg(w, ' ' ORDER BY pos) FILTER (WHERE r <= 10) AS rest FROM (SELECT item_id, w, MIN(pos) AS pos, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY MIN(pos)) AS r FROM (SELECT item_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM w) x GROUP BY item_id, w) y GROUP BY item_id)
+SELECT item_id, array_to_string(list_filter([CASE WHEN contains(low, 'the') THEN '"the"^2.0' END, CASE WHEN contains(low, 'with') THEN '"with"^2.0' END, rest], lambda x: x IS NOT NULL), ' ') AS phrase FROM b LEFT JOIN first USING (item_id)""")
 def phrase_queries(t: Tables):
-    q = FT.phrase_query(F.col("text"), ["the"], 0)
+    """Known phrases first, then up to ten other words, in the order of the text."""
+    q = FT.phrase_query(F.col("text"), ["the", "with"])
     return t.benchmark.select("item_id", q.alias("phrase"))

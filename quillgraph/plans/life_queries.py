@@ -58,15 +58,27 @@ def group_isolation(t: Tables):
     return L.isolation({"documents": d, "conversations": t.conversations.select(F.col("role").alias("group_id"))})
 
 
-@query(f"""WITH {SENTENCES}, {_STATE}, h AS (SELECT section_id AS group_id, COUNT(*) AS sentences, COUNT(*) FILTER (WHERE state.deprecated) AS deprecated FROM sent JOIN state USING (sid) GROUP BY section_id)
-SELECT group_id, ROUND(GREATEST(100.0 - LEAST(20.0, 100.0 * (group_id % 4) / GREATEST(sentences, 1)) - LEAST(15.0, 100.0 * (group_id % 3) / GREATEST(sentences, 1)) - CASE WHEN group_id % 2 = 0 THEN 10.0 ELSE 0.0 END - LEAST(30.0, 1.0 * (group_id % 5)) - LEAST(10.0, 100.0 * deprecated / GREATEST(sentences, 1)), 0.0), 4) AS score FROM h""")
+@query(f"""WITH {SENTENCES}, {MENTIONS}, {_STATE}, s AS (SELECT sent.*, deprecated FROM sent JOIN state USING (sid)),
+d AS (SELECT section_id, COUNT(*) AS documents, COUNT(*) FILTER (WHERE gone) AS deprecated FROM (SELECT section_id, doc_id, bool_and(deprecated) AS gone FROM s GROUP BY 1, 2) x GROUP BY 1),
+e AS (SELECT section_id, COUNT(*) AS entities, COUNT(*) FILTER (WHERE gone) AS orphans FROM (SELECT section_id, eid, bool_and(deprecated) AS gone FROM s JOIN mention USING (sid) GROUP BY 1, 2) x GROUP BY 1),
+n AS (SELECT section_id, deprecated, LEAD(sid) OVER w AS dst, LEAD(deprecated) OVER w AS other FROM s WINDOW w AS (PARTITION BY section_id ORDER BY sid)),
+st AS (SELECT section_id, COUNT(*) FILTER (WHERE dst IS NOT NULL AND (deprecated OR other)) AS stale FROM n GROUP BY 1),
+late AS (SELECT c_nationkey AS section_id, COALESCE(MAX(o_orderdate) > MAX(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END), true) AS is_stale FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+v AS (SELECT (SELECT COUNT(*) FROM documents WHERE COALESCE(lang, '') = '') + (SELECT COUNT(*) FROM conversations WHERE COALESCE(role, '') = '') AS missing)
+SELECT d.section_id AS group_id, documents, d.deprecated, COALESCE(entities, 0) AS entities, COALESCE(orphans, 0) AS orphans, stale, is_stale, missing,
+GREATEST(ROUND(100.0::DOUBLE - LEAST(20.0, CASE WHEN entities > 0 THEN 100.0 * (orphans / entities::DOUBLE) ELSE 0.0 END) - LEAST(15.0, stale / 10.0::DOUBLE) - CASE WHEN is_stale THEN 10.0 ELSE 0.0 END - LEAST(30.0, 5.0 * missing) - LEAST(10.0, 20.0 * GREATEST(d.deprecated / documents::DOUBLE - 0.5, 0.0)), 1), 0.0) AS score
+FROM d LEFT JOIN e USING (section_id) JOIN st USING (section_id) JOIN late USING (section_id), v""")
 def health_scores(t: Tables):
+    """Health of every nation's part of the graph; an order that is finished has been computed."""
+    from pyspark.sql import Window
+
     s = X.sentences(t)
-    st = L.deprecate(s, _gone(t)).select("sid", "deprecated")
-    g = F.col("group_id")
-    per = s.join(st, "sid").groupBy(F.col("section_id").alias("group_id")).agg(F.count(F.lit(1)).alias("sentences"), F.count_if("deprecated").alias("deprecated"))
-    per = per.withColumns({"orphans": g % 4, "entities": F.col("sentences"), "stale": g % 3, "edges": F.col("sentences"), "is_stale": g % 2 == 0, "missing": g % 5})
-    return L.health_score(per).select("group_id", "score")
+    s = s.join(L.deprecate(s, _gone(t)).select("sid", "deprecated"), "sid").select("sid", "doc_id", F.col("section_id").alias("group_id"), "deprecated")
+    edges = s.select(F.col("sid").alias("src"), F.lead("sid").over(Window.partitionBy("group_id").orderBy("sid")).alias("dst")).where("dst is not null")
+    orders = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("group_id"))
+    computed = orders.agg(F.max("o_orderdate").alias("last_change"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("last_computed"))
+    missing = L.isolation({"documents": t.documents.select(F.col("lang").alias("group_id")), "conversations": t.conversations.select(F.col("role").alias("group_id"))})
+    return L.health(s, X.mentions(t), edges, computed, missing).select("group_id", "documents", "deprecated", "entities", "orphans", "stale", "is_stale", "missing", "score")
 
 
 @query(f"""WITH {RELATIONS}, e AS (SELECT src % 100 AS src, dst % 100 AS dst, 'part ' || CAST(dst AS VARCHAR) AS description, src * 100000 + dst AS seq FROM rel), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY seq) AS k, COUNT(*) OVER (PARTITION BY src, dst) AS cooccurrence FROM e)

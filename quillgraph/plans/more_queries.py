@@ -131,11 +131,11 @@ def seed_cascade(t: Tables):
     return exact.unionAll(part)
 
 
-@query(f"WITH {RELATIONS} SELECT src, dst, w FROM rel WHERE src < 40 AND dst < 40")
+@query(f"WITH {RELATIONS}, named AS (SELECT p_partkey FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'bolt')) SELECT src, dst, w FROM rel WHERE src IN (FROM named) AND dst IN (FROM named)")
 def evidence_subgraph(t: Tables):
-    nodes = t.spark.range(40)
-    r = X.relations(t)
-    return r.join(F.broadcast(nodes), r["src"] == nodes["id"], "left_semi").join(F.broadcast(nodes), r["dst"] == nodes["id"], "left_semi")
+    """Relations between the parts that a keyword names."""
+    nodes = t.part.where(F.contains("p_name", F.lit("red")) | F.contains("p_name", F.lit("bolt"))).select("p_partkey")
+    return X.relations(t).join(nodes, F.col("src") == F.col("p_partkey"), "left_semi").join(nodes, F.col("dst") == F.col("p_partkey"), "left_semi")
 
 
 @query(f"WITH {RELATIONS}, {BOTH}, {_DEGREE} SELECT p_partkey AS node, degree FROM part JOIN deg ON node = p_partkey WHERE contains(lower(p_name), 'a') OR contains(lower(p_name), 'blue') ORDER BY degree DESC, p_partkey LIMIT 10")

@@ -121,10 +121,13 @@ def next_fit_bins(t: Tables):
     return S.next_fit(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), T.tokens_by_length(F.col("text")).alias("tokens")), 200)
 
 
-@query(r"""WITH x AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
-SELECT doc_id, CAST(ROUND(CASE WHEN trim(text) = '' THEN 0.10 WHEN len(list_filter(l, lambda x: x LIKE '%:' AND length(x) <= 40)) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
- * CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 20 THEN 0.10 ELSE 1.0 END
- * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '(?m)^[A-Za-z ]{2,40}: *\S') THEN 0.20 ELSE 1.0 END, 6) AS DOUBLE) AS penalty FROM x""")
+_PENALTY = r"""CAST(ROUND(CASE WHEN len(l) = 0 THEN 0.10 WHEN len(list_filter(l, lambda x: regexp_matches(x, '^(?:[A-Za-z0-9 ''/()-]+:\s*(?:[_.-]{2,}|\[?\s*\]?)|[_.=-]{4,})$'))) * 2 >= len(l) THEN 0.05 ELSE 1.0 END
+ * CASE WHEN length(regexp_replace(text, '[\s_.=:|/\[\]()#*>`-]+', '', 'g')) < 20 THEN 0.10 ELSE 1.0 END
+ * CASE WHEN length(text) // 4 + 1 < 50 AND NOT regexp_matches(text, '[A-Za-z][A-Za-z0-9 /()''-]+:\s*[A-Za-z0-9]') THEN 0.20 ELSE 1.0 END, 6) AS DOUBLE) AS penalty"""
+_LINES = r"""x AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM (SELECT doc_id, COALESCE(text, '') AS text FROM documents) d)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, {_PENALTY} FROM x")
 def noise_penalties(t: Tables):
     return t.documents.select("doc_id", N.noise_penalty(F.col("text")).alias("penalty"))
 
