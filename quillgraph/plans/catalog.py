@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import change_queries, context_queries, descent_queries, extra_queries, fact_queries, graph_queries, layout_queries, level_queries, life_queries, more_queries, passage_queries, scope_queries, search_queries, text_queries, walk_queries  # noqa: F401  they register themselves
+from . import change_queries, context_queries, descent_queries, extra_queries, fact_queries, graph_queries, layout_queries, level_queries, life_queries, linking_queries, more_queries, passage_queries, scope_queries, search_queries, text_queries, walk_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 

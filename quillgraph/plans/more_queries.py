@@ -14,8 +14,9 @@ from ..operators import vector as V
 from ..sources import readers
 from . import fixture as X
 from .fixture import BOTH, MENTIONS, RELATIONS, SENTENCES
+from .linking_queries import diverse
 from .registry import SQL, Tables, query
-from .search_queries import _PAIRS, _queries
+from .search_queries import _PAIRS, _SCORED, _queries
 
 
 @query(f"WITH {SENTENCES} SELECT CAST(n_nationkey AS BIGINT) AS section_id, COUNT(sid) AS total FROM nation LEFT JOIN sent ON section_id = n_nationkey GROUP BY n_nationkey")
@@ -96,7 +97,7 @@ def near_repeated_passages(t: Tables):
     return SM.jaccard_repeats(t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text"), "role")
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCORED}, near AS (SELECT query_id, vec_id AS id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) x WHERE r <= 30), {diverse('near', 7)} SELECT query_id, id, position FROM chosen")
 def mmr_selection(t: Tables):
     top = V.top_k(_queries(t), t.embeddings, 30).withColumnRenamed("vec_id", "id")
     return SM.mmr(top.join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id"))
@@ -118,13 +119,13 @@ def entities_by_document_turn(t: Tables):
     return R.round_robin(per, "doc_id", [F.desc("mention_count"), F.col("eid")], 2, 30).select("doc_id", "eid", "position")
 
 
-@query("""WITH seed AS (SELECT n_name AS seed, lower(n_name) AS k FROM nation), name AS (SELECT DISTINCT r_name AS name, lower(r_name) AS k FROM region UNION SELECT n_name, lower(n_name) FROM nation WHERE n_nationkey % 2 = 0),
+@query("""WITH seed AS (SELECT n_name AS seed, lower(n_name) AS k FROM nation UNION SELECT substr(n_name, 3), lower(substr(n_name, 3)) FROM nation), name AS (SELECT DISTINCT r_name AS name, lower(r_name) AS k FROM region UNION SELECT n_name, lower(n_name) FROM nation),
 s1 AS (SELECT seed, name, 1 AS step FROM seed JOIN name ON seed.k = name.k), s2 AS (SELECT seed, name, 2 AS step FROM seed JOIN name ON contains(name.k, seed.k) OR contains(seed.k, name.k) WHERE seed NOT IN (SELECT seed FROM s1))
 SELECT * FROM s1 UNION ALL SELECT * FROM s2""")
 def seed_cascade(t: Tables):
     """Seeds match names exactly, and only those left match by substring, either way; the seed set is a stated, small one."""
-    seeds = t.nation.select(F.col("n_name").alias("seed"), F.lower("n_name").alias("sk"))
-    names = t.region.select(F.col("r_name").alias("name")).unionAll(t.nation.where("n_nationkey % 2 = 0").select("n_name")).distinct().withColumn("nk", F.lower("name"))
+    seeds = t.nation.select(F.explode(F.array("n_name", F.substring("n_name", 3, 1 << 20))).alias("seed")).distinct().withColumn("sk", F.lower("seed"))
+    names = t.region.select(F.col("r_name").alias("name")).unionAll(t.nation.select("n_name")).distinct().withColumn("nk", F.lower("name"))
     exact = names.join(F.broadcast(seeds), F.col("nk") == F.col("sk")).select("seed", "name", F.lit(1).alias("step"))
     left = seeds.join(exact, "seed", "left_anti")
     part = names.join(F.broadcast(left), F.contains("nk", "sk") | F.contains("sk", "nk")).select("seed", "name", F.lit(2).alias("step"))
