@@ -15,6 +15,26 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
 
 
+def numbered(df: DataFrame, order: list[Column], group: str | None = None, name: str = "rank") -> DataFrame:
+    """All rows with their place from 1 in `order`, which must tell all rows apart, in each value of `group` (null is one) or in the whole table.
+
+    No group lies in one task: the sort deals ranges of rows to tasks, each row
+    is numbered inside its range, and what stands before a range is added. The
+    sorted rows are written as a table, so that a lost executor can't deal them
+    differently. Sizes of ranges, one a task, and first places are joined.
+    """
+    keys = [F.col(group)] if group else []
+    place = {"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    rows = durable(df.orderBy(*keys, *order).withColumns(place))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each task of the sort
+    out = rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+    if not group:
+        return out
+    first = out.groupBy(F.col(group).alias("__group")).agg(F.min(name).alias("__first"))
+    return out.join(first, F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__group", "__first")
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column], per_group: int, total: int) -> DataFrame:
     """At most `per_group` rows a group, dealt one group after another by key until `total`; `position` from 1."""
     own = top_per_group(df, [group], order, per_group)

@@ -7,6 +7,7 @@ with matrix products.
 
 from __future__ import annotations
 
+import sys
 import math
 
 import numpy as np
@@ -52,11 +53,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
     sends on only what can still be among the k best of a query. More queries
     are dealt to blocks like the vectors, and tasks compare a block of each.
     """
-    many = queries.select("query_id").limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK
-    found = _by_blocks(queries, vectors, k, least, digits) if many else _by_broadcast(queries, vectors, k, least, digits)
+    found = _found(queries, vectors, k, least, digits)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def every(queries: DataFrame, vectors: DataFrame, least: float | None = None, digits: int = 6) -> DataFrame:
+    """query_id, vec_id, score of all vectors (of at least `least`) for each of a stated set of queries, unranked."""
+    return _found(queries, vectors, sys.maxsize, least, digits)
+
+
+def _found(queries: DataFrame, vectors: DataFrame, k: int, least: float | None, digits: int) -> DataFrame:
+    many = queries.select("query_id").limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK
+    return _by_blocks(queries, vectors, k, least, digits) if many else _by_broadcast(queries, vectors, k, least, digits)
+
+
 def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: float | None, digits: int):
     """(query_id, vec_id, score) of what can be among the k best of each query, 512 queries at a time."""
     if not len(ids) or not len(qid) or x.shape[1] != q.shape[1]:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector import top_k
+from .ranking import numbered
+from .vector import every, top_k
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,9 @@ class VectorIndex:
         rows = self.rows if where is None else self.rows.where(where)
         if k < 0:
             return top_k(queries.limit(0), rows, 1)
-        return top_k(queries, rows, k or max(1, rows.count()), least)
+        if k == 0:
+            return numbered(every(queries, rows, least), [F.desc("score"), F.col("vec_id")], "query_id")
+        return top_k(queries, rows, k, least)
 
     def delete(self, metadata: dict[str, str]) -> tuple[VectorIndex, DataFrame]:
         """The index without the rows that have all of the given metadata, and n: how many those are."""

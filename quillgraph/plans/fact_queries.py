@@ -171,7 +171,7 @@ def cached_extractions(t: Tables):
 @query("SELECT p_partkey, regexp_full_match(p_name, 'red.*') AS whole, ROW_NUMBER() OVER (ORDER BY CASE WHEN p_size > 25 THEN p_size END DESC NULLS FIRST, p_partkey) AS place FROM part")
 def match_and_null_order(t: Tables):
     """A pattern that must fit the whole text, and descending order with nulls first."""
-    from ..operators.ranking import top_per_group
+    from ..operators.ranking import numbered
 
-    rows = t.part.select("p_partkey", F.col("p_name").rlike("^(?:red.*)$").alias("whole"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("s"), F.lit(1).alias("g"))
-    return top_per_group(rows, ["g"], [F.desc_nulls_first("s"), F.col("p_partkey")], 1 << 30, "place").select("p_partkey", "whole", "place")
+    rows = t.part.select("p_partkey", F.col("p_name").rlike("^(?:red.*)$").alias("whole"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("s"))
+    return numbered(rows, [F.desc_nulls_first("s"), F.col("p_partkey")], name="place").select("p_partkey", "whole", "place")

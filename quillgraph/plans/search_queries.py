@@ -54,7 +54,7 @@ def mutual_knn_edges(t: Tables):
 @query(f"""WITH {_PAIRS}, e AS (SELECT a, b, score FROM pairs WHERE score >= 0.43 AND la <> lb), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM e) SELECT a, b, score FROM r WHERE r <= 5""")
 def cross_document_similarity(t: Tables):
     label = t.embeddings.select("vec_id", "label")
-    pairs = V.similar_pairs(t.embeddings, 0.43).join(F.broadcast(label).withColumnRenamed("vec_id", "a").withColumnRenamed("label", "la"), "a").join(F.broadcast(label).withColumnRenamed("vec_id", "b").withColumnRenamed("label", "lb"), "b").where("la <> lb")
+    pairs = V.similar_pairs(t.embeddings, 0.43).join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb")
     return R.top_per_group(pairs.select("a", "b", "score"), ["a"], [F.desc("score"), F.col("b")], 5, "r").drop("r")
 
 

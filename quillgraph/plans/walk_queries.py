@@ -103,7 +103,7 @@ def walk_seeds(t: Tables):
 def section_headings(t: Tables):
     """Sections (labels) whose best heading is at least 0.25 like a question."""
     queries = t.embeddings.where("vec_id in (0, 20)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = V.top_k(queries, t.embeddings, t.embeddings.count(), least=0.25).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    found = V.every(queries, t.embeddings, 0.25).join(t.embeddings.select("vec_id", "label"), "vec_id")
     return found.groupBy("query_id", "label").agg(F.max("score").alias("score"))
 
 
