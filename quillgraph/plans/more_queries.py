@@ -145,11 +145,13 @@ def hubs_by_keyword(t: Tables):
     return named.join(_degree(t), F.col("p_partkey") == F.col("node")).select("node", "degree").orderBy(F.desc("degree"), "node").limit(10)
 
 
-@query(f"WITH {MENTIONS} SELECT eid, sid // 1000 AS block, COUNT(*) AS n, md5(string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid)) AS listed FROM mention GROUP BY eid, sid // 1000")
+@query(f"WITH {MENTIONS} SELECT eid, COUNT(*) AS n, md5(string_agg(CAST(sid AS VARCHAR), ',' ORDER BY sid)) AS listed FROM mention GROUP BY eid")
 def inverted_index(t: Tables):
-    """Lists of sentences of each entity, a list for every thousand numbers, so that a hot entity has many short ones."""
+    """The whole list of sentences of each entity, put together from lists of 100,000 numbers each, so that a hot entity is sorted by many tasks."""
     ids = F.sort_array(F.collect_list("sid"))
-    return X.mentions(t).groupBy("eid", F.floor(F.col("sid") / 1000).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(ids.cast("array<string>"), ",")).alias("listed"))
+    parts = X.mentions(t).groupBy("eid", F.floor(F.col("sid") / 100_000).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.nullif(F.array_join(ids.cast("array<string>"), ","), F.lit("")).alias("ids"))
+    whole = F.nullif(F.array_join(F.sort_array(F.collect_list(F.struct("block", "ids")))["ids"], ","), F.lit(""))
+    return parts.groupBy("eid").agg(F.sum("n").alias("n"), F.md5(whole).alias("listed"))
 
 
 @query("WITH g AS (SELECT source, lang, SUM(n_chars) AS n FROM documents GROUP BY source, lang), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM g) SELECT source, lang FROM r WHERE r = 1")
