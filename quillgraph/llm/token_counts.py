@@ -7,7 +7,7 @@ counts of its pieces add up; long texts are split there like others. Whether
 this holds is read from the tokenizer's file (`cuttable`); texts are encoded
 whole where it does not.
 
-Pieces of all texts of an Arrow batch are worked on together: short ones are
+Pieces of the texts of about TEXT_BYTES of an Arrow batch are worked on together: short ones are
 told apart by a 64-bit hash of their bytes (two of REMEMBERED pieces share one
 with a probability of about 1e-7, and then a count), each distinct one that the
 worker does not know yet is encoded once, and longer ones are encoded as they come.
@@ -34,8 +34,8 @@ from . import textvec
 LIMIT = 512
 #: Pieces that a worker remembers, the most bytes of one, and UTF-8 bytes of one call to the library.
 REMEMBERED, SHORT, BATCH_BYTES = 2_000_000, 64, 1 << 20
-#: Short pieces that are looked up together.
-TOGETHER = 1 << 19
+#: Short pieces that are looked up together, and UTF-8 bytes of the texts that are cut together (a larger text is alone).
+TOGETHER, TEXT_BYTES = 1 << 19, 1 << 21
 
 _counters: dict[str, Counter] = {}
 _PRINTABLE = np.array([0x21 <= b <= 0x7E for b in range(256)])
@@ -103,7 +103,14 @@ class Counter:
         return out
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text of a batch (UTF-8 bytes and offsets)."""
+        """Tokens of each text of a batch (UTF-8 bytes and offsets). Memory beside the batch follows TEXT_BYTES or the longest text, not the batch."""
+        sums = np.zeros(len(offsets) - 1, np.int64)
+        for lo, hi in balanced(np.diff(offsets), TEXT_BYTES):
+            first = offsets[lo]
+            sums[lo:hi] = self._counted(data[first : offsets[hi]], offsets[lo : hi + 1] - first)
+        return sums
+
+    def _counted(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(offsets) - 1, np.int64)
         starts = piece_starts(data, offsets) if self.cut else offsets[:-1][np.diff(offsets) > 0]
         if not len(starts):

@@ -510,3 +510,27 @@ def test_token_counts_of_repeated_rows_empty_tables_and_forgetting(spark, monkey
     texts = [" ".join(f"{r.choice('abc')}{r.randint(0, 99)}" for _ in range(40)) for _ in range(60)]
     own = Tokenizer.from_file(path)
     assert token_counts.Counter(path).count(*textvec.utf8(pa.array(texts))).tolist() == [len(own.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_memory_of_counting_does_not_follow_the_batch():
+    """Four times the texts in a batch need no more memory beside it."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from quillgraph.llm import textvec
+
+    counter = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(2)
+    texts = [" ".join(r.choices("abcdefgh", k=2000)) for _ in range(600)]
+    counter.count(*textvec.utf8(pa.array(texts)))
+    peaks = []
+    for n in (1, 4):
+        batch = textvec.utf8(pa.array(texts * n + [None, ""]))
+        tracemalloc.start()
+        counts = counter.count(*batch)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert counts.tolist() == counts[:600].tolist() * n + [0, 0]
+    assert peaks[1] < 1.2 * peaks[0]
