@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of texts that are 0.8 alike in five-word shingles: the smallest doc_id. Null and empty texts are copies of each other."""
-    return near_copies.keep_first(docs)
+    """Keeps one row of each group, the smallest doc_id. SimHash fingerprints within 2 bits link, as in op2; so do texts that are 0.8 alike in five-word shingles, which fingerprints miss. Null and empty texts are copies of each other."""
+    return near_copies.keep_first(docs, fingerprints=True)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,11 @@ dealt to blocks of about BLOCK shingles (and BLOCK / EACH texts), a task compare
 matrix product and gives links only, so a large bucket makes no pairs as
 rows. A pair is compared in the first of its common buckets only.
 
+`fingerprints` adds the links of `simhash.links`: texts whose fingerprints of
+3-word shingles differ in at most 2 bits are one group whatever their sets
+are. They are joined before buckets are compared, so that pairs which they
+bring together are not compared again.
+
 Words are as in `simhash.fingerprint`; a text of fewer words than a shingle
 is one shingle, and texts without words (null ones too) are copies of each
 other. Repeated ids are rows of their own; rows with a null id may be
@@ -31,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
-from .simhash import components, first_rows, with_owner
+from .simhash import components, fingerprint_column, first_rows, with_owner
+from .simhash import links as fingerprint_links
 
 WORDS, SEED, BANDS, ROWS = 5, 42, 48, 6
 #: The least similarity as a fraction, so that the comparison is in whole numbers.
@@ -167,10 +173,22 @@ def _compared(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return durable(dealt.join(sets, "node").groupBy("band", "k", "i", "j").applyInArrow(_block_links, "u long, v long"))
 
 
-def grouped(documents: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and root (the group's smallest node) of every row."""
+def _fingerprint_ties(rows: DataFrame) -> DataFrame:
+    """Links (u, v) that join nodes exactly as their texts' SimHash fingerprints within 2 bits do: each node to the smallest of its component."""
+    seen = rows.select("node", "fp").distinct()
+    prints = durable(seen.groupBy("fp").agg(F.min("node").alias("lead")))
+    roots = components(fingerprint_links(prints.select("fp")))
+    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "lead", F.coalesce("root", "fp").alias("part"))
+    least = named.groupBy("part").agg(F.min("lead").alias("u"))
+    owner = durable(named.select(F.col("fp").alias("__key"), "part").join(least, "part").select("__key", "u"))
+    return with_owner(seen, "fp", owner, "inner").where("u <> node").select("u", F.col("node").alias("v")).distinct()
+
+
+def grouped(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """doc_id, th (hash of the text) and root (the group's smallest node) of every row. With `fingerprints`, texts whose SimHash fingerprints are within 2 bits are linked too."""
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = durable(docs.select("doc_id", "th", _sketch(F.col("text")).alias("s")).select("doc_id", "th", "s.node", "s.bands"))
+    own = {"fp": fingerprint_column(F.col("text"))} if fingerprints else {}
+    rows = durable(docs.withColumns({"s": _sketch(F.col("text")), **own}).select("doc_id", "th", "s.node", "s.bands", *own))
     nodes = rows.groupBy("node").agg(F.min(F.struct("th", "bands")).alias("s")).select("node", "s.th", "s.bands")
     keys = nodes.select("node", F.posexplode("bands").alias("band", "k"))
     crowds = keys.groupBy("band", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -181,15 +199,17 @@ def grouped(documents: DataFrame) -> DataFrame:
     wanted = shared.select("node").distinct().join(nodes, "node").select("node", "th", "bands")
     sets = durable(docs.select("th", "text").join(wanted, "th").dropDuplicates(["node"]).select("node", "bands", _set(F.col("text")).alias("set")))
     links = _verified(shared.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), sets.select("node", "set"))
+    if fingerprints:
+        links = durable(links.unionByName(_fingerprint_ties(rows)))
     named = shared.where("n > 2 and node <> lead").join(components(links).withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("band", "k", "node", F.coalesce("root", "node").alias("root"))
     parts = named.groupBy("band", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "k")
     open_ = durable(named.join(parts, ["band", "k"]))
     if not open_.isEmpty():
         size = sets.select("node", (F.octet_length("set") / 8 + EACH).alias("size"))
         links = links.unionByName(_compared(open_.join(size, "node"), sets))
-    return with_owner(rows.drop("bands"), "node", components(links).select(F.col("node").alias("__key"), "root")).select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    return with_owner(rows.select("doc_id", "th", "node"), "node", components(links).select(F.col("node").alias("__key"), "root")).select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
+def keep_first(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
     """One row of each group, all columns as they are: the one with the smallest doc_id (null ids last, then by a hash of the text)."""
-    return first_rows(documents, grouped(documents))
+    return first_rows(documents, grouped(documents, fingerprints))

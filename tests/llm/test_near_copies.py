@@ -48,6 +48,18 @@ def test_stage_removes_edited_copies(spark):
     assert len(got) < simhash.keep_first(df).count()
 
 
+def test_stage_links_fingerprints(spark):
+    """Texts within 2 fingerprint bits are one group however few shingles their sets share, and pass that on to what is alike in words."""
+    cycle = "one two three four five " * 300
+    tails = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    texts = [cycle + tails[0], cycle + tails[1], cycle + tails[1] + " end", "another text of quite other words", None]
+    bits = [simhash.fingerprint(t or "") for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2 and not any(slow_near(texts[0], t) for t in texts[1:]) and slow_near(*texts[1:3])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.simhash_stage(spark, df, "").collect()) == [0, 3, 4]
+    assert sorted(x["doc_id"] for x in near_copies.keep_first(df).collect()) == [0, 1, 3, 4]
+
+
 def test_a_bucket_of_two_groups(spark, monkeypatch):
     """With every node in one bucket, pairs that do not touch its smallest node are still linked."""
     monkeypatch.setattr(near_copies, "_sketch", same_bucket())
