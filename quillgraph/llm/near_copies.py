@@ -174,14 +174,13 @@ def _compared(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _fingerprint_ties(rows: DataFrame) -> DataFrame:
-    """Links (u, v) that join nodes exactly as their texts' SimHash fingerprints within 2 bits do: each node to the smallest of its component."""
+    """Links (u, v) that connect nodes exactly as their texts' SimHash fingerprints within 2 bits do; a fingerprint stands as its smallest node, to which its others are tied."""
     seen = rows.select("node", "fp").distinct()
     prints = durable(seen.groupBy("fp").agg(F.min("node").alias("lead")))
-    roots = components(fingerprint_links(prints.select("fp")))
-    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "lead", F.coalesce("root", "fp").alias("part"))
-    least = named.groupBy("part").agg(F.min("lead").alias("u"))
-    owner = durable(named.select(F.col("fp").alias("__key"), "part").join(least, "part").select("__key", "u"))
-    return with_owner(seen, "fp", owner, "inner").where("u <> node").select("u", F.col("node").alias("v")).distinct()
+    end = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    pairs = fingerprint_links(prints.select("fp")).join(end("u"), "u").join(end("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    own = with_owner(seen, "fp", prints.select(F.col("fp").alias("__key"), "lead"), "inner").where("lead <> node").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    return pairs.unionByName(own)
 
 
 def grouped(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
@@ -201,13 +200,14 @@ def grouped(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
     links = _verified(shared.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), sets.select("node", "set"))
     if fingerprints:
         links = durable(links.unionByName(_fingerprint_ties(rows)))
-    named = shared.where("n > 2 and node <> lead").join(components(links).withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("band", "k", "node", F.coalesce("root", "node").alias("root"))
+    roots = components(links)
+    named = shared.where("n > 2 and node <> lead").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("band", "k", "node", F.coalesce("root", "node").alias("root"))
     parts = named.groupBy("band", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "k")
     open_ = durable(named.join(parts, ["band", "k"]))
     if not open_.isEmpty():
         size = sets.select("node", (F.octet_length("set") / 8 + EACH).alias("size"))
-        links = links.unionByName(_compared(open_.join(size, "node"), sets))
-    return with_owner(rows.select("doc_id", "th", "node"), "node", components(links).select(F.col("node").alias("__key"), "root")).select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+        roots = components(links.unionByName(_compared(open_.join(size, "node"), sets)))
+    return with_owner(rows.select("doc_id", "th", "node"), "node", roots.select(F.col("node").alias("__key"), "root")).select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
 def keep_first(documents: DataFrame, fingerprints: bool = False) -> DataFrame:
