@@ -100,7 +100,7 @@ def only(rows: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
 
 
 def release() -> None:
-    """Gives memory that a fit has used back to the system; the driver lives on."""
+    """Gives memory that is no longer used back to the system; the driver lives on after a fit, and a worker waits for its next task."""
     import ctypes
     import gc
 

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import linear
 from .durable import durable
 from .simhash import components, fingerprint_column, first_rows, with_owner
 from .simhash import links as fingerprint_links
@@ -115,6 +116,7 @@ def _sketch(text: Column) -> Column:
             h = shingles(t)
             nodes.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED) - (1 << 63))
             keys.append(bands(h))
+        linear.release()  # the worker is idle while joins follow
         return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands"])
 
     return sketch(text)
@@ -123,7 +125,9 @@ def _sketch(text: Column) -> Column:
 def _set(text: Column) -> Column:
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t).astype("<u8").tobytes() for t in texts.to_pylist()], pa.binary())
+        sets = pa.array([shingles(t).astype("<u8").tobytes() for t in texts.to_pylist()], pa.binary())
+        linear.release()
+        return sets
 
     return packed(text)
 

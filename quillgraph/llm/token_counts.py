@@ -33,9 +33,9 @@ from . import textvec
 
 LIMIT = 512
 #: Pieces that a worker remembers, the most bytes of one, and UTF-8 bytes of one call to the library.
-REMEMBERED, SHORT, BATCH_BYTES = 2_000_000, 64, 1 << 20
-#: Short pieces that are looked up together, and UTF-8 bytes of the texts that are cut together (a larger text is alone).
-TOGETHER, TEXT_BYTES = 1 << 19, 1 << 21
+REMEMBERED, SHORT, BATCH_BYTES = 2_000_000, 64, 1 << 18
+#: Short pieces that are looked up together, those of them that are hashed together, and UTF-8 bytes of the texts that are cut together (a larger text is alone).
+TOGETHER, HASHED, TEXT_BYTES = 1 << 19, 1 << 14, 1 << 21
 
 _counters: dict[str, Counter] = {}
 _PRINTABLE = np.array([0x21 <= b <= 0x7E for b in range(256)])
@@ -62,6 +62,15 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return starts[np.append(True, starts[1:] != starts[:-1])] if len(starts) else starts
 
 
+def piece_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces, none of them empty."""
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    with np.errstate(over="ignore"):
+        terms = _VALUE[data[np.repeat(starts, sizes) + place]] * _POWER[place]
+        return textvec.mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64))
+
+
 def balanced(sizes: np.ndarray, most: int = BATCH_BYTES):
     """Ranges of consecutive pieces of at most `most` bytes together; a larger piece is alone."""
     ends = np.cumsum(sizes)
@@ -127,11 +136,7 @@ class Counter:
         return sums
 
     def _remembered(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-        with np.errstate(over="ignore"):
-            terms = _VALUE[data[np.repeat(starts, sizes) + place]] * _POWER[place]
-            keys = textvec.mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64))
+        keys = np.concatenate([piece_keys(data, starts[lo : lo + HASHED], sizes[lo : lo + HASHED]) for lo in range(0, len(starts), HASHED)])
         distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.known, distinct)
         old = np.zeros(len(distinct), bool)

@@ -534,3 +534,29 @@ def test_memory_of_counting_does_not_follow_the_batch():
         tracemalloc.stop()
         assert counts.tolist() == counts[:600].tolist() * n + [0, 0]
     assert peaks[1] < 1.2 * peaks[0]
+
+
+def test_memory_of_counting_is_a_few_times_what_is_cut_together():
+    """The pipeline's packing stage took an executor over its limit: hashing all short pieces at once needed over 40 bytes a byte of text."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm import textvec
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(3)
+    texts = [" ".join(r.choices(["alpha", "beta", "gamma-delta", "é", "x1"], k=3000)) for _ in range(120)]
+    batch = textvec.utf8(pa.array(texts))
+    counter = token_counts.Counter(path)
+    first = counter.count(*batch)
+    tracemalloc.start()
+    again = counter.count(*batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * min(token_counts.TEXT_BYTES, len(batch[0]))
+    own = Tokenizer.from_file(path)
+    assert first.tolist() == again.tolist()
+    assert first[:5].tolist() == [len(own.encode(t, add_special_tokens=False)) for t in texts[:5]]

@@ -37,3 +37,25 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, k):
     out = corpus_pipeline.STAGES[k][1](spark, docs, SMALL)
     assert out.columns == docs.columns and out.count() <= 4
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark, tmp_path):
+    """The packing stage took an executor over its limit: batches were 10,000 rows, however long the texts."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(600).repartition(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("text"))
+        packed = corpus_pipeline.packing_stage(spark, docs, "")
+
+        @F.arrow_udf("long")
+        def size(texts: pa.Array) -> pa.Array:
+            return pa.array([sum(len(t) for t in texts.to_pylist())] * len(texts), pa.int64())
+
+        most = docs.select(size("text").alias("n")).agg(F.max("n")).first()[0]
+        assert 0 < most <= corpus_pipeline.BATCH_BYTES + 2 * 20_000  # 12 MB in all
+        assert packed.count() == 600 and packed.select("n_tokens").distinct().count() == 1
+    finally:
+        spark.conf.set(key, before)
