@@ -74,3 +74,10 @@ def test_default_vector_is_signed_counts_of_hashed_words(spark):
                 want[h % 64] += -1 if h >= 2**31 else 1
         norm = np.linalg.norm(want)
         assert np.allclose(row.v, want / norm if norm else want)
+
+
+def test_default_vector_of_words_that_cancel_is_of_unit_length(spark):
+    """`sun` and `sea` fall on one place with opposite signs."""
+    rows = spark.createDataFrame([(1, "Sun, sea!"), (2, "?!")], "i int, t string")
+    got = {r.i: np.linalg.norm(r.v) for r in rows.select("i", A.hashed_vector(F.col("t")).alias("v")).collect()}
+    assert np.isclose(got[1], 1) and got[2] == 0
