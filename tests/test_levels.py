@@ -125,3 +125,25 @@ def test_headers_misspelt_and_swapped_find_their_fields(spark):
     assert found == {(1, " Due dte ", "date"), (1, "Custmer Name", "name"), (1, "totl amount", "total"), (2, "CLIENT", "name")}
     cells = spark.createDataFrame([(1, 0, "colour", "red"), (1, 0, "totl amount", "5"), (1, 1, "totl amount", ""), (1, 2, "totl amount", None)], "table_id long, row_id long, header string, value string")
     assert [tuple(r) for r in matching.table_facts(cells, matching.assigned(matching.header_options(headers, names))).collect()] == [("Row_1_0", "5", "total", "totl amount")]
+
+
+@pytest.mark.parametrize("arcs", [0, 60])
+def test_rounds_of_jobs_give_good_levels_too(spark, monkeypatch, arcs):
+    """Graphs beyond what a task holds, from the first level on or until they are contracted."""
+    monkeypatch.setattr(leiden, "IN_TASK", arcs)
+    edges = blocks(4, n=3, size=5, stray=4)
+    found = leiden.hierarchy(spark.createDataFrame(edges, EDGES), most=100).collect()
+    top = {r.node: r.community for r in found}
+    assert len(found) == len(top) == 15 and modularity(edges, top) >= greedy(edges) - 0.02
+
+
+def test_one_level_takes_few_jobs(spark):
+    from quillgraph.operators import iterate
+
+    made, own = [], iterate.durable
+    leiden.durable = lambda df: made.append(1) or own(df)
+    try:
+        leiden.hierarchy(spark.createDataFrame(blocks(5), EDGES), most=100)
+    finally:
+        leiden.durable = own
+    assert len(made) < 10
